@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import leaks, pieces, tokens
+from docweave.llm import langs, leaks, pieces, tokens
 from docweave.tables import table
 
 
@@ -46,8 +46,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("equal_words >= 13").select("doc_id", "item_id")
 
 
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Main language, confidence and segments of every document that has words of a language."""
+    model = langs.train(table(spark, d, "lang_samples"))
+    return langs.document_languages(langs.language_segments(table(spark, d, "documents"), model, keep=("lang",)))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Missing and wrong labels, and other languages with a stretch of 12 or more words."""
+    found = p8_languages(spark, d)
+    label = langs.label_code(F.col("lang"))
+    wrong = found.where(label.isNull() | (label != F.col("main_lang"))).select("doc_id", F.lit("label").alias("kind"), F.col("main_lang").alias("lang"))
+    other = F.filter("segments", lambda s: (s["lang"] != F.col("main_lang")) & (s["end_word"] - s["first_word"] >= 12))
+    mixed = found.select("doc_id", F.lit("segment").alias("kind"), F.explode(F.array_distinct(F.transform(other, lambda s: s["lang"]))).alias("lang"))
+    return wrong.unionByName(mixed)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
