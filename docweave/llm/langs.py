@@ -280,7 +280,7 @@ def language_segments(
                 [batch.column(0), *(batch.column(2 + i) for i in range(len(keep))), pa.array(out, seg_type)], [f.name for f in schema.fields]
             )
 
-    segment = T.StructType().add("lang", "string").add("first_word", "int").add("end_word", "int").add("confidence", "double")
+    segment = T.StructType().add("lang", "string").add("first_word", "integer").add("end_word", "integer").add("confidence", "double")
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in (id_col, *keep)]).add("segments", T.ArrayType(segment))
     return kept.mapInArrow(run, schema)
 
