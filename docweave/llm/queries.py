@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import langs, leaks, pieces, tokens
+from docweave.llm import langs, leaks, pieces, scans, tokens
+from docweave.session import staged
 from docweave.tables import table
 
 
+def source_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(id, content) of source documents, each id once; redelivered rows repeat the same text."""
+    return table(spark, d, "source_documents").where("id is not null").groupBy("id").agg(F.max("content").alias("content"))
+
+
+def p1_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect of every line, with what is read there and what it should be."""
+    docs = staged(source_texts(spark, d), "p1-docs")
+    furniture = scans.train_furniture(docs)
+    words = staged(scans.lexicon(docs, furniture), "p1-words")
+    models = scans.train(docs, words, furniture)
+    fixes = staged(scans.corrections(words, models.editor), "p1-fixes")
+    return scans.defects(docs, words, models, fixes)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that are furniture, end in a hyphenated word or hold a misread word."""
+    return p1_defects(spark, d).select("id", "line_no", "kind").distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every source document as continuous paragraphs."""
+    return scans.repair(source_texts(spark, d), p1_defects(spark, d))
+
+
 def p5_pieces(spark: SparkSession, d: str, oversized_only: bool = False) -> DataFrame:
     """Pieces of every document and chunk, each key once."""
     docs = table(spark, d, "source_documents").select(F.lit("document").alias("item_kind"), F.col("id").alias("item_id"), F.col("content").alias("body"))
@@ -63,7 +89,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
