@@ -122,7 +122,7 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
-def fit(texts: list[str], langs: list[str], order: int = 4, bits: int = 17, landmarks: int = 600, ridge: float = 0.3, seed: int = 7) -> LanguageModel:
+def fit(texts: list[str], langs: list[str], order: int = 4, bits: int = 16, landmarks: int = 600, ridge: float = 0.3, seed: int = 7) -> LanguageModel:
     """Kernel ridge regression on Nystroem coordinates of windows of the labelled texts.
 
     Windows of 1 to 8 words, as written and without accents, are the examples, so that the model
@@ -143,27 +143,31 @@ def fit(texts: list[str], langs: list[str], order: int = 4, bits: int = 17, land
     number = {w: i for i, w in enumerate(flat)}
     rows, slots = _gram_rows(flat, order, bits)
     used, local = np.unique(slots, return_inverse=True)
-    by_word = np.zeros((len(flat), len(used)), np.float32)
-    by_word[rows, local] = 1
-    member = np.zeros((len(examples), len(flat)), np.float32)
-    for i, e in enumerate(examples):
-        member[i, [number[w] for w in e]] = 1
-    x = member @ by_word
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    first = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(flat)))))
+    word_slots = [local[first[i] : first[i + 1]] for i in range(len(flat))]
+
+    def presence(block: list[list[str]]) -> np.ndarray:
+        """Normalised gram presence of some examples."""
+        x = np.zeros((len(block), len(used)), np.float32)
+        for i, e in enumerate(block):
+            for w in e:
+                x[i, word_slots[number[w]]] = 1
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
     rng = np.random.default_rng(seed)
     chosen = np.sort(rng.choice(len(examples), min(landmarks, len(examples)), replace=False))
-    base = x[chosen].astype(np.float64)
-    values, vectors = np.linalg.eigh(base @ base.T)
+    base = presence([examples[i] for i in chosen])
+    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     good = values > values.max() * 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ base.T.astype(np.float32)).astype(np.float64) @ root
+    phi = np.concatenate([(presence(examples[i : i + 500]) @ base.T).astype(np.float64) @ root for i in range(0, len(examples), 500)])
     y = np.where(target[:, None] == np.arange(len(kinds)), 1.0, -1.0)
     weight = 1 / np.bincount(target, minlength=len(kinds))[target]
     weight *= len(target) / weight.sum()
     gram = (phi * weight[:, None]).T @ phi
     beta = np.linalg.solve(gram + ridge * np.eye(gram.shape[0]), (phi * weight[:, None]).T @ y)
     table = np.zeros((1 << bits, len(kinds)), np.float32)
-    table[used] = base.T @ (root @ beta)
+    table[used] = base.T @ (root @ beta).astype(np.float32)
     return LanguageModel(kinds, table, order, bits)
 
 
