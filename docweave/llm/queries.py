@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import langs, leaks, pieces, scans, tokens
+from docweave.llm import history, langs, leaks, pieces, scans, tokens
 from docweave.session import staged
 from docweave.tables import table
 
@@ -35,6 +35,18 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repair(source_texts(spark, d), p1_defects(spark, d))
 
 
+def p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of new batches and those alike to them, with what was decided of both."""
+    docs = table(spark, d, "source_documents").where("id is not null").groupBy("id").agg(F.min("batch_no").alias("batch_no"), F.max("content").alias("content"))
+    return history.check_batches(docs)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a rejected and an accepted document, smaller id first."""
+    pairs = p2_checked(spark, d).where("new_accepted <> old_accepted")
+    return pairs.select(F.least("new", "old").alias("doc_id_a"), F.greatest("new", "old").alias("doc_id_b")).distinct()
+
+
 def p5_pieces(spark: SparkSession, d: str, oversized_only: bool = False) -> DataFrame:
     """Pieces of every document and chunk, each key once."""
     docs = table(spark, d, "source_documents").select(F.lit("document").alias("item_kind"), F.col("id").alias("item_id"), F.col("content").alias("body"))
@@ -89,7 +101,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p2_found, p2_checked, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
