@@ -84,37 +84,32 @@ def _bits_of(prints: np.ndarray, size: int) -> np.ndarray:
 
 
 class History:
-    """The persistent store in the shared folder: fingerprints, sets of word sequences, Bloom filters.
+    """The persistent store in the shared folder: fingerprinted documents, decisions, Bloom filters.
 
     Each batch appends one folder to the first two; the filters are written anew, as they are small
     (`bits_per_print` bits a fingerprint of the expected history, over `buckets` partitions).
     """
 
-    def __init__(self, spark: SparkSession, id_type: T.DataType, expected_prints: int, bits_per_print: int = 12, bucket_bits: int = 1 << 22):
-        self.spark, self.id_type, self.root = spark, id_type, scratch_path(spark, "history")
+    def __init__(self, spark: SparkSession, schema: T.StructType, expected_prints: int, root: str, bits_per_print: int = 12, bucket_bits: int = 1 << 22):
+        self.spark, self.schema, self.root = spark, schema, root
         total = max(expected_prints, 1) * bits_per_print
         self.buckets = max(1, -(-total // bucket_bits))
         self.bits = max(1 << 10, -(-total // self.buckets) // 8 * 8 + 8)
-        self.batches = 0
-        self.filters: DataFrame | None = None
+        self.filters = spark.createDataFrame([], "bucket int, bits binary")
 
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("print"), F.lit(self.buckets)).cast("int")
 
-    def prints(self) -> DataFrame:
-        return self.spark.read.schema(T.StructType([T.StructField("print", T.LongType()), T.StructField("old", self.id_type)])).parquet(f"{self.root}/prints/*")
+    def documents(self, before: int) -> DataFrame:
+        """Fingerprinted documents of the batches before the `before`-th."""
+        folders = [f"{self.root}/documents/{i:06d}" for i in range(before)]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
-    def sets(self) -> DataFrame:
-        fields = [T.StructField("old", self.id_type), T.StructField("old_n", T.IntegerType()), T.StructField("old_grams", T.BinaryType()), T.StructField("accepted", T.BooleanType())]
-        return self.spark.read.schema(T.StructType(fields)).parquet(f"{self.root}/sets/*")
+    def decisions(self, kind: T.DataType) -> DataFrame:
+        return self.spark.read.schema(T.StructType([T.StructField("key", kind), T.StructField("accepted", T.BooleanType())])).parquet(f"{self.root}/decided/*")
 
-    def add(self, new: DataFrame, decided: DataFrame) -> None:
-        """Take in a batch: `new` fingerprinted documents, `decided` (key, accepted)."""
-        checked = new.where("n_grams > 0")
-        prints = checked.select(F.explode("prints").alias("print"), F.col("key").alias("old"))
-        prints.write.parquet(f"{self.root}/prints/batch-{self.batches}")
-        marked = checked.join(decided, "key")
-        marked.select(F.col("key").alias("old"), F.col("n_grams").alias("old_n"), F.col("grams").alias("old_grams"), "accepted").write.parquet(f"{self.root}/sets/batch-{self.batches}")
+    def fill(self, new: DataFrame) -> None:
+        """Take the fingerprints of a batch into the filters."""
         size, names = self.bits, ["bucket", "bits"]
 
         def fill(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -125,18 +120,15 @@ class History:
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
             return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=names)
 
-        before = self.filters if self.filters is not None else self.spark.createDataFrame([], "bucket int, bits binary")
-        added = self.spark.read.schema(prints.schema).parquet(f"{self.root}/prints/batch-{self.batches}").select(self.bucket().alias("bucket"), "print")
-        filled = added.groupBy("bucket").cogroup(before.groupBy("bucket")).applyInArrow(fill, "bucket int, bits binary")
-        self.filters = staged(filled, "bloom")
-        self.batches += 1
+        added = new.select(F.explode("prints").alias("print")).select(self.bucket().alias("bucket"), "print")
+        self.filters = staged(added.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInArrow(fill, "bucket int, bits binary"), "bloom")
 
     def positives(self, prints: DataFrame) -> DataFrame:
-        """The rows (print, key) of a batch whose fingerprint may be in the store."""
-        size, schema = self.bits, T.StructType([prints.schema["print"], prints.schema["key"]])
+        """The rows (print, key, n_prints) of a batch whose fingerprint may be in the store."""
+        size, schema = self.bits, prints.schema
 
         def screen(left: pa.Table, right: pa.Table) -> pa.Table:
-            left = left.select(["print", "key"])
+            left = left.select(schema.names)
             if not right.num_rows or not left.num_rows:
                 return left.slice(0, 0)
             bits = np.frombuffer(right.column("bits")[0].as_py(), np.uint8)
@@ -144,14 +136,12 @@ class History:
             hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
             return left.filter(pa.array(hit.all(axis=0)))
 
-        rows = prints.select("print", "key", self.bucket().alias("bucket"))
+        rows = prints.select("*", self.bucket().alias("bucket"))
         return rows.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInArrow(screen, schema)
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Verified pairs: (new, old, likeness) of candidates with both sets."""
-    likeness = F.col("shared") / (F.col("new_n") + F.col("old_n") - F.col("shared"))
-    return shared_grams(pairs, "new_grams", "old_grams").withColumn("likeness", likeness).where(F.col("likeness") >= least)
+#: A batch's positive fingerprints up to this many go to every task that scans the store; beyond, both are shuffled.
+BROADCAST_PRINTS = 1_000_000
 
 
 def _rejected_within(edges: DataFrame) -> DataFrame | None:
@@ -186,38 +176,53 @@ def check_batches(
     """
     spark = docs.sparkSession
     rows = docs.select(id_col, text_col, batch_col).where(F.col(batch_col).isNotNull())
+    id_type = rows.schema[id_col].dataType
     numbers = [r[0] for r in rows.select(batch_col).distinct().orderBy(batch_col).collect()]
-    schema = T.StructType([T.StructField(c, rows.schema[id_col].dataType) for c in ("new", "old")]).add("likeness", "double").add("new_accepted", "boolean").add("old_accepted", "boolean")
+    empty = T.StructType([T.StructField(c, id_type) for c in ("new", "old")]).add("likeness", "double").add("new_accepted", "boolean").add("old_accepted", "boolean")
+    if not numbers:
+        return spark.createDataFrame([], empty)
+    root = scratch_path(spark, "history")
     store: History | None = None
-    out: DataFrame | None = None
-    for number in numbers:
-        new = staged(fingerprints(rows.where(F.col(batch_col) == number), id_col, text_col), "batch")
+    for i, number in enumerate(numbers):
+        folder = f"{root}/documents/{i:06d}"
+        fingerprints(rows.where(F.col(batch_col) == number), id_col, text_col).write.parquet(folder)
         if store is None:
-            count = new.agg(F.sum(F.size("prints"))).first()[0] or 0
-            store = History(spark, rows.schema[id_col].dataType, 3 * count)
-            store.add(new, new.select("key", F.lit(True).alias("accepted")))
+            first = spark.read.parquet(folder)
+            store = History(spark, first.schema, 3 * (first.agg(F.sum(F.size("prints"))).first()[0] or 0), root)
+            first.select("key", F.lit(True).alias("accepted")).write.parquet(f"{root}/decided/{i:06d}")
+            store.fill(first)
             continue
-        prints = new.where("n_grams > 0").select("key", F.explode("prints").alias("print"))
-        sized = new.select(F.col("key").alias("new"), F.col("n_grams").alias("new_n"), F.col("grams").alias("new_grams"), (F.size("prints") * coverage).alias("need"))
-        old = store.positives(prints).join(store.prints(), "print").groupBy(F.col("key").alias("new"), "old").agg(F.count("*").alias("prints"))
-        with_new = old.join(sized, "new").where("prints >= need").drop("prints", "need")
-        found = staged(_alike(with_new.join(store.sets(), "old"), least).select("new", "old", "likeness", "accepted"), "found")
-
-        mine = prints.join(prints.select("print", F.col("key").alias("old")), "print").where("key < old").groupBy(F.col("key").alias("new"), "old").agg(F.count("*").alias("prints"))
-        other = new.select(F.col("key").alias("old"), F.col("n_grams").alias("old_n"), F.col("grams").alias("old_grams"))
-        within = staged(_alike(mine.join(sized, "new").where("prints >= need").drop("prints", "need").join(other, "old"), least).select("new", "old", "likeness"), "within")
-
+        new = spark.read.schema(store.schema).parquet(folder)
+        prints = new.select("key", F.size("prints").alias("n_prints"), F.explode("prints").alias("print"))
+        positive = staged(store.positives(prints), "positive")
+        known = store.documents(i).select(F.col("key").alias("old"), F.explode("prints").alias("print"))
+        hits = known.join(F.broadcast(positive) if positive.count() <= BROADCAST_PRINTS else positive, "print")
+        mine = prints.join(prints.select("print", F.col("key").alias("old")), "print").where("key < old")
+        candidates = (
+            hits.select("key", "old", "n_prints")
+            .unionByName(mine.select("key", "old", "n_prints"))
+            .groupBy("key", "old")
+            .agg(F.count("*").alias("shared_prints"), F.first("n_prints").alias("n_prints"))
+            .where(F.col("shared_prints") >= F.col("n_prints") * coverage)
+            .select(F.col("key").alias("new"), "old")
+        )
+        both = candidates.join(new.select(F.col("key").alias("new"), F.col("n_grams").alias("new_n"), F.col("grams").alias("new_grams")), "new")
+        both = both.join(store.documents(i + 1).select(F.col("key").alias("old"), F.col("n_grams").alias("old_n"), F.col("grams").alias("old_grams")), "old")
+        likeness = F.col("shared") / (F.col("new_n") + F.col("old_n") - F.col("shared"))
+        alike = shared_grams(both, "new_grams", "old_grams").select("new", "old", likeness.alias("likeness")).where(F.col("likeness") >= least)
+        alike.write.parquet(f"{root}/alike/{i:06d}")
+        found = spark.read.schema(alike.schema).parquet(f"{root}/alike/{i:06d}").join(store.decisions(id_type).withColumnRenamed("key", "old"), "old", "left")
         by_history = found.where("accepted").select(F.col("new").alias("k")).distinct()
+        within = found.where("accepted is null")
         free = within.join(by_history, within["new"] == by_history["k"], "left_anti").join(by_history, F.col("old") == by_history["k"], "left_anti")
-        by_order = _rejected_within(staged(free.select(F.col("new").alias("a"), F.col("old").alias("b")), "edges"))
-        rejected = by_history if by_order is None else by_history.unionByName(by_order)
-        decided = staged(new.select("key").join(rejected.select(F.col("k").alias("key"), F.lit(True).alias("no")).distinct(), "key", "left").select("key", F.col("no").isNull().alias("accepted")), "decided")
-
-        def status(of: str) -> DataFrame:
-            return decided.select(F.col("key").alias(of), F.col("accepted").alias(f"{of}_accepted"))
-
-        pairs = found.withColumnRenamed("accepted", "old_accepted").join(status("new"), "new").unionByName(within.join(status("new"), "new").join(status("old"), "old"))
-        pairs = pairs.select(*schema.names)
-        out = pairs if out is None else out.unionByName(pairs)
-        store.add(new, decided)
-    return out if out is not None else spark.createDataFrame([], schema)
+        by_order = _rejected_within(free.select(F.col("new").alias("a"), F.col("old").alias("b")))
+        rejected = by_history if by_order is None else by_history.unionByName(by_order).distinct()
+        decided = new.select("key").join(rejected.select(F.col("k").alias("key"), F.lit(True).alias("no")), "key", "left").select("key", F.col("no").isNull().alias("accepted"))
+        decided.write.parquet(f"{root}/decided/{i:06d}")
+        store.fill(new)
+    if len(numbers) == 1:
+        return spark.createDataFrame([], empty)
+    pairs = spark.read.schema(alike.schema).parquet(f"{root}/alike/*")
+    for side in ("new", "old"):
+        pairs = pairs.join(store.decisions(id_type).select(F.col("key").alias(side), F.col("accepted").alias(f"{side}_accepted")), side)
+    return pairs.select(*empty.names)

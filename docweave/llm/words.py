@@ -7,6 +7,8 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A word is a run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -49,6 +51,23 @@ def word_codes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)[codes], lengths
 
 
+def arrow_word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """`word_codes` of the words of an Arrow column of texts, without a Python object per word."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pattern=r"[^\p{L}\p{N}]+")
+    ends, values = parts.offsets.to_numpy(), parts.flatten()
+    ends = ends - ends[0]
+    coded = values.dictionary_encode()
+    distinct = coded.dictionary.to_pandas().to_numpy(dtype=object)
+    index = coded.indices.to_numpy()
+    if not len(distinct):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    blank = np.flatnonzero(distinct == "")
+    if len(blank):
+        kept = index != blank[0]
+        ends, index = np.concatenate(([0], np.cumsum(kept)))[ends], index[kept]
+    return pd.util.hash_array(distinct, categorize=False)[index], np.diff(ends)
+
+
 def gram_codes(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of `size` codes; len(codes) - size + 1 values (none if shorter)."""
     n = len(codes) - size + 1
