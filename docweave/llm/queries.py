@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import history, langs, leaks, pieces, scans, tokens
+from docweave.llm import history, langs, leaks, neardups, pieces, scans, tokens
 from docweave.session import staged
 from docweave.tables import table
 
@@ -47,6 +47,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("new", "old").alias("doc_id_a"), F.greatest("new", "old").alias("doc_id_b")).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks with a likeness of 0.5 or more, smaller id first."""
+    pairs = neardups.expanded(*neardups.near_duplicates(table(spark, d, "chunks")))
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with a likeness set, its group (of linked sets) and its number of linked sets."""
+    members, links = neardups.near_duplicates(table(spark, d, "chunks"))
+    members, links = staged(members, "members"), staged(links, "links")
+    label = neardups.components(members.select(F.col("set_key").alias("node")), links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    names = members.join(label, F.col("set_key") == F.col("node")).groupBy("component").agg(F.min("id").alias("group_id"))
+    degree = links.select(F.explode(F.array("key_a", "key_b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("links"))
+    of = members.join(label, F.col("set_key") == F.col("node")).join(names, "component").join(degree, "set_key", "left")
+    return of.select(F.col("id").alias("chunk_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p5_pieces(spark: SparkSession, d: str, oversized_only: bool = False) -> DataFrame:
     """Pieces of every document and chunk, each key once."""
     docs = table(spark, d, "source_documents").select(F.lit("document").alias("item_kind"), F.col("id").alias("item_id"), F.col("content").alias("body"))
@@ -101,7 +118,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p2_found, p2_checked, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p2_found, p2_checked, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
