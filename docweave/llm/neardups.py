@@ -25,9 +25,11 @@ from docweave.llm.history import shared_grams
 from docweave.llm.words import arrow_word_codes, gram_codes, mix
 from docweave.session import staged
 
-BITS = 256
+BITS, WIDE_BITS = 256, 2048
+#: Sets larger than this also carry a wide bitmap, as a narrow one is full.
+WIDE_FROM = 150
 #: Pairs looked at together in a task.
-STEP = 2_000_000
+STEP = 1_000_000
 #: Keys up to this many go to every task that rereads the records; beyond, both sides are shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -56,11 +58,11 @@ def set_keys(owner: np.ndarray, grams: np.ndarray, count: int) -> tuple[np.ndarr
     return keys, sizes
 
 
-def parity_bitmaps(owner: np.ndarray, grams: np.ndarray, count: int) -> np.ndarray:
-    """For each record the parity of its hashes over BITS slots, packed in 64-bit words."""
-    slots = (mix(grams + np.uint64(77)) >> np.uint64(64 - 8)).astype(np.int64)
-    odd = (np.bincount(owner * BITS + slots, minlength=count * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(count, BITS), axis=1).view(np.uint64)
+def parity_bitmaps(owner: np.ndarray, grams: np.ndarray, count: int, bits: int = BITS) -> np.ndarray:
+    """For each record the parity of its hashes over `bits` slots, packed in 64-bit words."""
+    slots = (mix(grams + np.uint64(77)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(owner * bits + slots, minlength=count * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(count, bits), axis=1).view(np.uint64)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,8 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
 
         def send() -> Iterator[pa.RecordBatch]:
             base, recs = 0, []
-            keys, sizes, bitmaps = (np.concatenate([h[i] for h in held]) for i in range(3))
+            keys, sizes, bitmaps, wide = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 6))
+            wide_row = np.cumsum(sizes > WIDE_FROM) - 1
             for h in held:
                 recs.append(h[3] + base)
                 base += len(h[0])
@@ -135,7 +138,7 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
                     continue
                 used, local = np.unique(rec[at], return_inverse=True)
                 row = [
-                    keys[used].tobytes(), _narrow(sizes[used]), bitmaps[used].tobytes(), _narrow(np.bincount(local)),
+                    keys[used].tobytes(), _narrow(sizes[used]), bitmaps[used].tobytes(), wide[wide_row[used[sizes[used] > WIDE_FROM]]].tobytes(), _narrow(np.bincount(local)),
                     (gram[at] // np.uint64(buckets)).astype(np.uint32).tobytes(), _narrow(pos[at]),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names)
@@ -165,7 +168,10 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
             prefix = s - np.ceil(least_likeness * s - 1e-9).astype(np.int64) + 1
             sent = (pos < prefix) & (count[rank] > 1)  # a count of 1 is sure to be the only one
             new = np.cumsum(fresh) - 1
-            held.append((keys[fresh], sizes[fresh], parity_bitmaps(new[owner], grams, int(fresh.sum())), new[owner][sent], grams[rank][sent], pos[sent]))
+            large = fresh & (sizes > WIDE_FROM)
+            of_large = large[owner]
+            wide = parity_bitmaps((np.cumsum(large) - 1)[owner[of_large]], grams[of_large], int(large.sum()), WIDE_BITS)
+            held.append((keys[fresh], sizes[fresh], parity_bitmaps(new[owner], grams, int(fresh.sum())), new[owner][sent], grams[rank][sent], pos[sent], wide))
             total += int(fresh.sum())
             if total >= flush:
                 yield from send()
@@ -173,7 +179,7 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
         if held:
             yield from send()
 
-    names = ["bucket", "keys", "sizes", "bitmaps", "per_record", "grams", "positions"]
+    names = ["bucket", "keys", "sizes", "bitmaps", "wide", "per_record", "grams", "positions"]
     return run
 
 
@@ -186,6 +192,8 @@ def _join_bucket(least_likeness: float):
         m = [len(k) // 16 for k in cols["keys"]]
         size = np.concatenate([_wide(s, n) for s, n in zip(cols["sizes"], m)])
         bitmaps = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, BITS // 64) for b in cols["bitmaps"]])
+        wide = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, WIDE_BITS // 64) for b in cols["wide"]])
+        wide_row = np.cumsum(size > WIDE_FROM) - 1
         per = np.concatenate([_wide(p, n) for p, n in zip(cols["per_record"], m)])
         gram = np.concatenate([np.frombuffer(g, np.uint32) for g in cols["grams"]])
         pos = np.concatenate([_wide(p, len(g) // 4) for p, g in zip(cols["positions"], cols["grams"])])
@@ -240,7 +248,14 @@ def _join_bucket(least_likeness: float):
                     o = np.repeat(need[i:j], w)
                     differ = np.bitwise_count(bitmaps[rec[x]] ^ bitmaps[rec[y]]).sum(axis=1, dtype=np.int64)
                     ok = (n[x] + n[y] - differ >= 2 * o) & (rec[x] != rec[y])
-                    p, q = rec[x[ok]].astype(np.uint64), rec[y[ok]].astype(np.uint64)
+                    x, y, o = x[ok], y[ok], o[ok]
+                    both = np.flatnonzero((n[x] > WIDE_FROM) & (n[y] > WIDE_FROM))
+                    if len(both):
+                        differ = np.bitwise_count(wide[wide_row[rec[x[both]]]] ^ wide[wide_row[rec[y[both]]]]).sum(axis=1, dtype=np.int64)
+                        fine = np.ones(len(x), bool)
+                        fine[both] = n[x[both]] + n[y[both]] - differ >= 2 * o[both]
+                        x, y = x[fine], y[fine]
+                    p, q = rec[x].astype(np.uint64), rec[y].astype(np.uint64)
                     out.append(np.unique((np.minimum(p, q) << np.uint64(32)) | np.maximum(p, q)))
                 i = j
         found = np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
@@ -285,7 +300,7 @@ def near_duplicates(
 
     if buckets is None:  # each holds the data of its records, so their number follows the records
         buckets = max(spark.sparkContext.defaultParallelism, -(-first.where("set_key is not null").count() // 200_000))
-    posted = "bucket int, keys binary, sizes binary, bitmaps binary, per_record binary, grams binary, positions binary"
+    posted = "bucket int, keys binary, sizes binary, bitmaps binary, wide binary, per_record binary, grams binary, positions binary"
     postings = rows.select("text").mapInArrow(_postings(gram_words, least_words, least_likeness, sketch, buckets), posted)
     pairs = staged(postings.groupBy("bucket").applyInArrow(_join_bucket(least_likeness), "key_a binary, key_b binary").distinct(), "pairs")
 
