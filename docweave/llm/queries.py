@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import history, langs, leaks, neardups, pieces, scans, tokens
+from docweave.llm import history, langs, leaks, neardups, pieces, scans, tokens, vectors
 from docweave.session import staged
 from docweave.tables import table
 
@@ -47,6 +47,30 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("new", "old").alias("doc_id_a"), F.greatest("new", "old").alias("doc_id_b")).distinct()
 
 
+def vector_items(spark: SparkSession, d: str) -> DataFrame:
+    """(id, key, group, vector) of stored vectors and asked queries; id is a 64-bit hash of the key."""
+    stored = table(spark, d, "vector_metadata").select(F.col("chunk_id").alias("key"), F.col("embedding_model").alias("group"), F.col("embedding").alias("vector"))
+    asked = table(spark, d, "query_results").select(F.col("query_id").alias("key"), F.col("embedding_model").alias("group"), F.col("query_embedding").alias("vector"))
+    return stored.unionByName(asked).where("key is not null").select(F.xxhash64("key").alias("id"), "*")
+
+
+def p3_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar items of every item, by the hashes of their keys."""
+    return vectors.most_similar(vector_items(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of items that are among each other's 10 most similar, with a cosine of 0.9 or more."""
+    items = vector_items(spark, d)
+    pairs = vectors.mutual(vectors.most_similar(items, least=0.9), 0.9)
+    keys = items.select("id", "key")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = keys.join(some, "id", "left_semi").distinct()
+    a, b = (named.select(F.col("id").alias(s), F.col("key").alias(f"key_of_{s}")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    return both.select(F.least("key_of_a", "key_of_b").alias("key_a"), F.greatest("key_of_a", "key_of_b").alias("key_b"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks with a likeness of 0.5 or more, smaller id first."""
     pairs = neardups.expanded(*neardups.near_duplicates(table(spark, d, "chunks")))
@@ -118,7 +142,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p2_found, p2_checked, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p2_found, p2_checked, p3_found, p3_similar, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
