@@ -25,9 +25,9 @@ from docweave.llm.history import shared_grams
 from docweave.llm.words import arrow_word_codes, gram_codes, mix
 from docweave.session import staged
 
-BITS, WIDE_BITS = 256, 2048
-#: Sets larger than this also carry a wide bitmap, as a narrow one is full.
-WIDE_FROM = 150
+BITS = 256
+#: Sets larger than the first number also carry a bitmap of the second number of bits, as a narrow one is full.
+WIDER = ((150, 2048), (700, 8192))
 #: Pairs looked at together in a task.
 STEP = 1_000_000
 #: Keys up to this many go to every task that rereads the records; beyond, both sides are shuffled.
@@ -125,8 +125,8 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
 
         def send() -> Iterator[pa.RecordBatch]:
             base, recs = 0, []
-            keys, sizes, bitmaps, wide = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 6))
-            wide_row = np.cumsum(sizes > WIDE_FROM) - 1
+            keys, sizes, bitmaps = (np.concatenate([h[i] for h in held]) for i in range(3))
+            wider = [(np.cumsum(sizes > above) - 1, np.concatenate([h[6][i] for h in held])) for i, (above, _) in enumerate(WIDER)]
             for h in held:
                 recs.append(h[3] + base)
                 base += len(h[0])
@@ -138,7 +138,7 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
                     continue
                 used, local = np.unique(rec[at], return_inverse=True)
                 row = [
-                    keys[used].tobytes(), _narrow(sizes[used]), bitmaps[used].tobytes(), wide[wide_row[used[sizes[used] > WIDE_FROM]]].tobytes(), _narrow(np.bincount(local)),
+                    keys[used].tobytes(), _narrow(sizes[used]), bitmaps[used].tobytes(), *(w[at_row[used[sizes[used] > above]]].tobytes() for (at_row, w), (above, _) in zip(wider, WIDER)), _narrow(np.bincount(local)),
                     (gram[at] // np.uint64(buckets)).astype(np.uint32).tobytes(), _narrow(pos[at]),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names)
@@ -168,9 +168,11 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
             prefix = s - np.ceil(least_likeness * s - 1e-9).astype(np.int64) + 1
             sent = (pos < prefix) & (count[rank] > 1)  # a count of 1 is sure to be the only one
             new = np.cumsum(fresh) - 1
-            large = fresh & (sizes > WIDE_FROM)
-            of_large = large[owner]
-            wide = parity_bitmaps((np.cumsum(large) - 1)[owner[of_large]], grams[of_large], int(large.sum()), WIDE_BITS)
+            wide = []
+            for above, bits in WIDER:
+                large = fresh & (sizes > above)
+                theirs = large[owner]
+                wide.append(parity_bitmaps((np.cumsum(large) - 1)[owner[theirs]], grams[theirs], int(large.sum()), bits))
             held.append((keys[fresh], sizes[fresh], parity_bitmaps(new[owner], grams, int(fresh.sum())), new[owner][sent], grams[rank][sent], pos[sent], wide))
             total += int(fresh.sum())
             if total >= flush:
@@ -179,7 +181,7 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
         if held:
             yield from send()
 
-    names = ["bucket", "keys", "sizes", "bitmaps", "wide", "per_record", "grams", "positions"]
+    names = ["bucket", "keys", "sizes", "bitmaps", *(f"wide{bits}" for _, bits in WIDER), "per_record", "grams", "positions"]
     return run
 
 
@@ -192,8 +194,7 @@ def _join_bucket(least_likeness: float):
         m = [len(k) // 16 for k in cols["keys"]]
         size = np.concatenate([_wide(s, n) for s, n in zip(cols["sizes"], m)])
         bitmaps = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, BITS // 64) for b in cols["bitmaps"]])
-        wide = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, WIDE_BITS // 64) for b in cols["wide"]])
-        wide_row = np.cumsum(size > WIDE_FROM) - 1
+        wider = [(above, np.cumsum(size > above) - 1, np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, bits // 64) for b in cols[f"wide{bits}"]])) for above, bits in WIDER]
         per = np.concatenate([_wide(p, n) for p, n in zip(cols["per_record"], m)])
         gram = np.concatenate([np.frombuffer(g, np.uint32) for g in cols["grams"]])
         pos = np.concatenate([_wide(p, len(g) // 4) for p, g in zip(cols["positions"], cols["grams"])])
@@ -249,12 +250,14 @@ def _join_bucket(least_likeness: float):
                     differ = np.bitwise_count(bitmaps[rec[x]] ^ bitmaps[rec[y]]).sum(axis=1, dtype=np.int64)
                     ok = (n[x] + n[y] - differ >= 2 * o) & (rec[x] != rec[y])
                     x, y, o = x[ok], y[ok], o[ok]
-                    both = np.flatnonzero((n[x] > WIDE_FROM) & (n[y] > WIDE_FROM))
-                    if len(both):
-                        differ = np.bitwise_count(wide[wide_row[rec[x[both]]]] ^ wide[wide_row[rec[y[both]]]]).sum(axis=1, dtype=np.int64)
+                    for above, row, wide in wider:
                         fine = np.ones(len(x), bool)
-                        fine[both] = n[x[both]] + n[y[both]] - differ >= 2 * o[both]
-                        x, y = x[fine], y[fine]
+                        both = np.flatnonzero((n[x] > above) & (n[y] > above))
+                        for c in range(0, len(both), STEP // 16):
+                            h = both[c : c + STEP // 16]
+                            differ = np.bitwise_count(wide[row[rec[x[h]]]] ^ wide[row[rec[y[h]]]]).sum(axis=1, dtype=np.int64)
+                            fine[h] = n[x[h]] + n[y[h]] - differ >= 2 * o[h]
+                        x, y, o = x[fine], y[fine], o[fine]
                     p, q = rec[x].astype(np.uint64), rec[y].astype(np.uint64)
                     out.append(np.unique((np.minimum(p, q) << np.uint64(32)) | np.maximum(p, q)))
                 i = j
@@ -300,7 +303,7 @@ def near_duplicates(
 
     if buckets is None:  # each holds the data of its records, so their number follows the records
         buckets = max(spark.sparkContext.defaultParallelism, -(-first.where("set_key is not null").count() // 200_000))
-    posted = "bucket int, keys binary, sizes binary, bitmaps binary, wide binary, per_record binary, grams binary, positions binary"
+    posted = "bucket int, keys binary, sizes binary, bitmaps binary, " + "".join(f"wide{bits} binary, " for _, bits in WIDER) + "per_record binary, grams binary, positions binary"
     postings = rows.select("text").mapInArrow(_postings(gram_words, least_words, least_likeness, sketch, buckets), posted)
     pairs = staged(postings.groupBy("bucket").applyInArrow(_join_bucket(least_likeness), "key_a binary, key_b binary").distinct(), "pairs")
 
