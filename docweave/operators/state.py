@@ -47,7 +47,7 @@ def rate_limited(events: DataFrame, key: str, at: str, id_col: str, seconds: int
     """
     kinds = events.schema
     schema = T.StructType([T.StructField(key, kinds[key].dataType), T.StructField(id_col, kinds[id_col].dataType), T.StructField("allowed", T.BooleanType())])
-    rows = events.select(key, id_col, F.unix_micros(at).alias("micros")).repartition(F.col(key)).sortWithinPartitions(key, "micros", id_col)
+    rows = events.select(key, id_col, F.unix_micros(F.col(at).cast("timestamp")).alias("micros")).repartition(F.col(key)).sortWithinPartitions(key, "micros", id_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from docweave.plans import logs, search, texts
+
+ALL = {**texts.QUERIES, **search.QUERIES, **logs.QUERIES}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.strip() for name, (_, sql) in ALL.items() if sql}
+
+
+def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Hybrid retrieval over the chunks."""
+    return search.hybrid_chunks(spark, data_dir)
