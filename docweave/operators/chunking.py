@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,7 +213,7 @@ def code(text: str, suffix: str = ".py", limit: int = 500) -> list[Span]:
                 if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
                     a, b = starts[node.lineno - 1], starts[node.end_lineno] - 1
                     out.append((text[a:b], a, b))
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, MemoryError, RecursionError):  # also too deep to parse
             out = []
     else:
         for m in re.finditer(r"(?:[\w<>\[\]]+\s+)+\w+\s*\([^)]*\)\s*\{[^}]*\}", text):
@@ -274,20 +274,22 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, strategy: str, least_cha
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, n, *span) for i, text in batch.itertuples(index=False, name=None) for n, span in enumerate(cut(text or "", **options))]
+            rows = [(i, n, *span) for i, text in enumerate(batch.column(1).to_pylist()) for n, span in enumerate(cut(text or "", **options))]
             rows = [r for r in rows if len(r[2].strip()) >= least_chars]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+            column = lambda j, kind: pa.array([r[j] for r in rows], kind)
+            ids = batch.column(0).take(column(0, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, column(1, pa.int32()), column(2, pa.string()), column(3, pa.int32()), column(4, pa.int32())], [f.name for f in schema.fields])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     name = F.concat(F.col("id").cast("string"), F.lit("_chunk_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0"))
     return found.select(F.col("id").alias(id_col), name.alias("chunk_id"), "chunk_index", "text", "start_char", "end_char", token_count("text").alias("token_count"), F.lit(strategy).alias("strategy"))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line): one row per line, from 0; none for null."""
-    return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    """(id, line_no, line): one row per line, from 0, without line ends; none for null."""
+    return docs.select(id_col, F.posexplode(F.split(text_col, "\r?\n")).alias("line_no", "line"))
 
 
 def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,32 +42,29 @@ def cache_entries(rows: DataFrame, key: Column, at: str, now: Column, ttl_second
 def rate_limited(events: DataFrame, key: str, at: str, id_col: str, seconds: int = 60, most: int = 120) -> DataFrame:
     """(key, id, allowed): an event is allowed if fewer than `most` allowed ones came in the last `seconds`.
 
-    Refused events don't count, so each decision depends on those before: a fold over the events of
+    Events without a time are left out. Refused events don't count, so each decision depends on those before: a fold over the events of
     a key. Keys are spread over tasks and each key's events come sorted, as a stream, so a hot key
     needs no memory but its last `most` allowed times.
     """
     kinds = events.schema
     schema = T.StructType([T.StructField(key, kinds[key].dataType), T.StructField(id_col, kinds[id_col].dataType), T.StructField("allowed", T.BooleanType())])
-    rows = events.select(key, id_col, F.unix_micros(F.col(at).cast("timestamp")).alias("micros")).repartition(F.col(key)).sortWithinPartitions(key, "micros", id_col)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import deque
+    rows = events.where(F.col(at).isNotNull()).select(key, id_col, F.unix_micros(F.col(at).cast("timestamp")).alias("micros")).repartition(F.col(key)).sortWithinPartitions(key, "micros", id_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, log = object(), deque()
         for batch in batches:
-            out = []
-            for k, i, t in batch.itertuples(index=False, name=None):
+            allowed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if k != current:
                     current, log = k, deque()
                 while log and log[0] <= t - seconds * 1_000_000:
                     log.popleft()
-                ok = len(log) < most
-                if ok:
+                allowed.append(len(log) < most)
+                if allowed[-1]:
                     log.append(t)
-                out.append((k, i, ok))
-            yield pd.DataFrame(out, columns=[key, id_col, "allowed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], [key, id_col, "allowed"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def status_counts(rows: DataFrame, key: str, status: str = "status") -> DataFrame:

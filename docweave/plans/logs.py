@@ -49,7 +49,7 @@ HOURLY_EVENTS = "select date_trunc('hour', ts) as window_start, event_type, coun
 
 def hourly_events_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same by Structured Streaming, once over what is there, with a watermark."""
-    path = f"{d}/events.parquet"
+    path = f"{d}/events.parque[t]"  # a glob, as a stream of one file needs it
     stream = streams.table_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counted = streams.windowed_counts(stream, "ts", "event_type", "value", late="1 day")
     out, checkpoint = scratch_path(spark, "hourly"), scratch_path(spark, "hourly-state")

@@ -82,9 +82,9 @@ select query_id, vec_id, round(distance, 6) as distance, cast(rank as integer) a
 
 
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(fused ranking of chunks, chunk texts) for the asked queries whose number, from the id's last digits, is divisible by 20."""
+    """(fused ranking of chunks, chunk texts) for the asked queries whose number, from the id's first digits, is divisible by 20."""
     asked = state.latest(table(spark, d, "query_results").where("query_id is not null"), ["query_id"], [F.desc_nulls_last("asked_at")])
-    asked = asked.where(F.conv(F.substring("query_id", -4, 4), 16, 10).cast("int") % 20 == 0)
+    asked = asked.where(F.conv(F.substring("query_id", 3, 4), 16, 10).cast("int") % 20 == 0)
     texts = table(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
     vectors = table(spark, d, "vector_metadata").select("chunk_id", "embedding_model", "embedding")
     vectors = vectors.join(texts.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
@@ -101,7 +101,7 @@ def hybrid_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 HYBRID = f"""
 with a as (select * from (select *, row_number() over (partition by query_id order by asked_at desc nulls last) as n from query_results where query_id is not null)
-  where n = 1 and cast('0x' || right(query_id, 4) as integer) % 20 = 0),
+  where n = 1 and cast('0x' || substr(query_id, 3, 4) as integer) % 20 = 0),
 c as (select chunk_id, max(text) as text from chunks where chunk_id is not null group by 1),
 v as (select * from (select chunk_id, embedding_model, embedding, row_number() over (partition by chunk_id order by added_at) as n from vector_metadata where chunk_id in (select chunk_id from c)) where n = 1),
 fv as (select chunk_id, embedding_model, cast(embedding as double[]) as e from v where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -115,7 +115,7 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 MARKDOWN_SECTIONS = """
-with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+with l as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as ls from documents where text is not null),
 e as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as line_no from l),
 m as (select *, regexp_extract(line, '^(#{1,6})[ \\t\\n\\x0B\\f\\r]+[^\\r\\n]+$', 1) as marks from e),
 s as (select *, sum(case when marks <> '' then 1 else 0 end) over (partition by doc_id order by line_no) as section_no from m)
@@ -132,7 +132,7 @@ def table_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 TABLE_BLOCKS = """
-with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+with l as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as ls from documents where text is not null),
 e as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as line_no from l),
 r as (select *, line_no - row_number() over (partition by doc_id order by line_no) as island from e
   where length(line) - length(replace(line, '|', '')) >= 2 or length(line) - length(replace(line, chr(9), '')) >= 2

@@ -41,8 +41,8 @@ def docx_text(content: bytes) -> str:
 def load_documents(spark: SparkSession, folder: str, recursive: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(id, path, name, file_type, file_size, hash, status, content): every file once per content.
 
-    Empty files, files over `most_bytes` and files that can't be read have a status that says so
-    and no content. Of files with equal hashes the first path is loaded, others are `duplicate`.
+    Blank files, files over `most_bytes` and files that can't be read have a status that says so
+    and no content; files of 0 bytes are not listed, as Spark plans no task for them. Of files with equal hashes the first path is loaded, others are `duplicate`.
     """
     files = discovered(spark, folder, recursive).withColumn("hash", file_hash("content"))
 
