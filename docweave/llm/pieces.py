@@ -12,7 +12,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,16 +142,17 @@ def split_oversized(
         # limit + 1 words need as many characters and a space between each two
         rows = rows.where(F.length("__text") > 2 * limit)
     schema = T.StructType([*rows.schema.fields[:-1], *PIECE_FIELDS])
-    names = [f.name for f in schema.fields]
+    kinds = [pa.int32()] * 5 + [pa.bool_(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for *key, text in batch.itertuples(index=False, name=None):
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
                 found = pieces_of(text, limit, overlap)
-                if oversized_only and len(found) < 2:
-                    continue
-                out += [(*key, *p) for p in found]
-            yield pd.DataFrame(out, columns=names)
+                if not (oversized_only and len(found) < 2):
+                    out += [(i, *p) for p in found]
+            at = pa.array([r[0] for r in out], pa.int64())
+            columns = [pa.array([r[j + 1] for r in out], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), *columns], [f.name for f in schema.fields])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
