@@ -145,5 +145,43 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_defects, p1_repaired, p2_found, p2_checked, p3_found, p3_similar, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_languages)}
 
 
+#: Brute force over all pairs, for small tables only.
+P3_FOUND = """
+with i as (select chunk_id as key, embedding_model as g, embedding as e from vector_metadata union all select query_id, embedding_model, query_embedding from query_results),
+o as (select key, any_value(g) as g, cast(any_value(e) as double[]) as e from i where key is not null and len(e) = 64 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0 group by key),
+p as (select a.key as ka, b.key as kb, list_cosine_similarity(a.e, b.e) as c from o a join o b on a.g = b.g and a.key <> b.key),
+r as (select ka, kb, c, row_number() over (partition by ka order by c desc, kb) as n from p where c >= 0.9)
+select x.ka as key_a, x.kb as key_b from r x join r y on x.ka = y.kb and x.kb = y.ka where x.n <= 10 and y.n <= 10 and x.ka < x.kb
+"""
+
+P4_FOUND = """
+with w as (select chunk_id, regexp_extract_all(lower(any_value(text)), '[\\p{L}\\p{N}]+') as ws from chunks where text is not null group by chunk_id),
+g as (select distinct chunk_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as gram from w where len(ws) >= 20),
+n as (select chunk_id, count(*) as n from g group by chunk_id),
+p as (select a.chunk_id as x, b.chunk_id as y, count(*) as both_have from g a join g b on a.gram = b.gram and a.chunk_id < b.chunk_id group by 1, 2)
+select x as chunk_id_a, y as chunk_id_b from p join n a on a.chunk_id = x join n b on b.chunk_id = y where both_have >= 0.5 * (a.n + b.n - both_have)
+"""
+
+P5_FOUND = """
+with i as (select 'document' as item_kind, id as item_id, any_value(content) as t from source_documents where content is not null group by id
+  union all select 'chunk', chunk_id, any_value(text) from chunks where text is not null group by chunk_id),
+w as (select *, len(regexp_extract_all(t, '[^ \\t\\n\\r\\f\\v]+')) as n from i)
+select item_kind, item_id, case when list_max(list_transform(regexp_split_to_array(t, '[\\n\\r\\f\\v.!?;]'), lambda s: len(regexp_extract_all(s, '[^ \\t\\n\\r\\f\\v]+')))) > 400 then 'forced' else 'natural' end as cut
+from w where n > 400
+"""
+
+P6_DECODED = "select doc_id, coalesce(text, '') as text from documents"
+
+_PLAIN_WORDS = "regexp_extract_all(lower(regexp_replace(strip_accents({0}), '[\\p{{Cf}}\\p{{Mn}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = "unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i : i + 12], ' '))) as run"
+P7_FOUND = f"""
+with d as (select doc_id, {_PLAIN_WORDS.format('text')} as ws from documents where text is not null),
+b as (select item_id, {_PLAIN_WORDS.format('text')} as ws from benchmark where text is not null),
+x as (select distinct doc_id, {_RUNS} from d where len(ws) >= 13),
+y as (select distinct item_id, {_RUNS} from b where len(ws) >= 13)
+select distinct doc_id, item_id from x join y using (run)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND.strip(), "p4_found": P4_FOUND.strip(), "p5_found": P5_FOUND.strip(), "p6_decoded": P6_DECODED, "p7_found": P7_FOUND.strip()}
