@@ -174,7 +174,8 @@ def most_similar(
 
     Only neighbours with a cosine of at least `least` come out. Ids are longs; a repeated id must
     repeat its vector and counts once. Vectors that are null, not of `dim` values, with a value that
-    is null or not finite, or with zeros only are left out; a null group is a group. Ties go to the smaller id.
+    is null or not finite, or with zeros only are left out; a null group is a group. Ties go to the smaller
+    id; of more than `k` equal neighbours in one list any may stay.
 
     Approximate: `kept_in` lists at most keep a vector, those at most `kept_ratio` times as far as
     its nearest; a query reads at most `asked` lists by `asked_ratio`. Recall grows with each.
@@ -245,11 +246,13 @@ def most_similar(
             for i in range(0, len(q), max(1, SCORES // len(m))):
                 part = q[i : i + max(1, SCORES // len(m))]
                 s = x[part] @ target
-                if least <= -1 and len(m) > k + 1:
-                    top = np.argpartition(-s, k, axis=1)[:, : k + 1]
-                    r, c = np.repeat(np.arange(len(part)), k + 1), top.ravel()
-                else:
-                    r, c = np.nonzero(s >= least)
+                good = s >= least
+                many = np.flatnonzero(good.sum(axis=1) > k + 1)
+                if len(many):  # only the best of a list can be among the best of all
+                    top = np.argpartition(-s[many], k, axis=1)[:, : k + 1]
+                    good[many] = False
+                    good[many[:, None], top] = True
+                r, c = np.nonzero(good)
                 other = part[r] != m[c]
                 r, c = r[other], c[other]
                 found.append((part[r], m[c], s[r, c]))
