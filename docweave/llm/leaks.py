@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm.words import mix, plain_words_of, signed, word_codes
+from docweave.session import staged
 
 #: Fixed masks of 13 positions; 1 counts, 0 is ignored.
 MASKS = ("1110110111011", "1011011101111", "1111101011011")
 
 #: Test hashes up to this many are sent to every task (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_HASHES = 4_000_000
+#: Pairs with a hit up to this many go to the tasks that reread the corpus; beyond, both sides are shuffled.
+BROADCAST_PAIRS = 50_000
 
 
 def masked(codes: np.ndarray, mask: str) -> np.ndarray:
@@ -132,15 +135,17 @@ def leaks(
     small = len(distinct) <= broadcast_hashes
     only = np.sort(distinct) if small else None
     doc_hits = corpus.mapInArrow(_windows(masks, only), hash_schema(docs, doc_id)).select(F.col("key").alias("doc"), "hash", F.col("at").alias("doc_at"))
-    pairs = (
+    pairs = staged(
         doc_hits.join(F.broadcast(test_hits) if small else test_hits, "hash")
         .select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
         .groupBy("doc", "item")
-        .agg(F.collect_set("shift").alias("shifts"))
+        .agg(F.collect_set("shift").alias("shifts")),
+        "hits",
     )
-    # The texts come back only for documents with a hit.
+    # The texts come back only for documents with a hit, which are sent to the corpus if they are few.
     with_items = pairs.join(tests.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item")
-    with_texts = with_items.join(corpus.select(F.col("key").alias("doc"), F.col("text").alias("doc_text")), "doc")
+    few = pairs.count() <= BROADCAST_PAIRS
+    with_texts = corpus.select(F.col("key").alias("doc"), F.col("text").alias("doc_text")).join(F.broadcast(with_items) if few else with_items, "doc")
 
     out = T.StructType(
         [
