@@ -73,9 +73,9 @@ def _windows(masks: tuple[str, ...], only: np.ndarray | None = None):
 
 
 def _overlap(doc: list[str], item: list[str], shifts: np.ndarray, mismatches: int) -> tuple[int, int, int, int]:
-    """Along the given diagonals (doc position minus item position): the longest equal run and its
-    start in the document, and the longest stretch with at most `mismatches` substituted words in
-    a row of `2 * mismatches + ...` equal ones around, as (run, run start, stretch, stretch start)."""
+    """Along the given diagonals (document position minus item position) the longest run of equal
+    words and its start in the document, and the same for a stretch with at most `mismatches`
+    substituted words: (run, run start, stretch, stretch start)."""
     vocabulary = {w: i for i, w in enumerate({*doc, *item})}
     d = np.array([vocabulary[w] for w in doc])
     b = np.array([vocabulary[w] for w in item])
