@@ -5,7 +5,10 @@ sequences. Equal sets are one set, whose answers its copies share. Sets meet in
 sequences in their prefix, rarest first; a list is sorted by set size and position and skipped in
 blocks: for each set only those blocks of sizes, and of each block only those positions, that leave
 room for enough overlap. A parity bitmap bounds the overlap of what is left from above, and only
-pairs it can't refuse are verified. Answers of a set are then carried to all records that have it.
+pairs it can't refuse are verified. Each set has an anchor, the least set it is paired with, and is
+compared with that one in full; the answers of sets that differ little from the same anchor are
+derived from the anchor's by these differences alone, which are all that is sent. Answers of a set
+are then carried to all records that have it.
 
 The order of sequences comes from a sketch of their counts over all records. The sketch has a fixed
 size and its errors change the work, never the result, as any one order gives the same pairs.
@@ -270,6 +273,29 @@ def _join_bucket(least_likeness: float):
     return run
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Adds the size and the named columns of both sets of each pair."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("set_key").alias(f"key_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *columns))), f"key_{side}")
+    return pairs
+
+
+def _against_anchor(pairs: DataFrame, most_change: float) -> DataFrame:
+    """(pair, n and grams of both) -> how many hashes they share and, where few, those that only one has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, changes = [], []
+            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                change = np.setxor1d(a, b, assume_unique=True)
+                shared.append((len(a) + len(b) - len(change)) // 2)
+                changes.append(change.tobytes() if len(change) <= most_change * len(b) else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(shared, pa.int32()), pa.array(changes, pa.binary())], ["key_a", "key_b", "n_a", "n_b", "shared", "change"])
+
+    return pairs.select("key_a", "key_b", "n_a", "n_b", "grams_a", "grams_b").mapInArrow(run, "key_a binary, key_b binary, n_a int, n_b int, shared int, change binary")
+
+
 def near_duplicates(
     records: DataFrame,
     id_col: str = "chunk_id",
@@ -279,12 +305,14 @@ def near_duplicates(
     least_words: int = 20,
     sketch_bits: int = 21,
     buckets: int | None = None,
+    most_change: float = 0.5,
 ) -> tuple[DataFrame, DataFrame]:
     """All links between records whose word-sequence sets have a Jaccard likeness of `least_likeness`.
 
     Returns (members, links). members: (id, set_key, n), each id once; ids with the same set_key are
     copies of each other in likeness. links: (key_a, key_b, likeness), each pair of different sets
-    once. No link is lost, whatever the number of partners. Null texts, and those of fewer than
+    once. No link is lost, whatever the number of partners. Answers are derived for sets that differ from
+    their anchor in at most `most_change` times their size; it changes the work, not the result. Null texts, and those of fewer than
     `least_words` words, are in neither. A repeated id must repeat its text; a null id is left out.
     Other columns are not looked at.
     """
@@ -322,11 +350,21 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([_keys_as_binary(keys[has]), pa.array(sizes[has].astype(np.int32)), pa.array(packed, pa.binary())], ["set_key", "n", "grams"])
 
     whole = staged(texts.mapInArrow(sets, "set_key binary, n int, grams binary").dropDuplicates(["set_key"]), "whole")
-    both = pairs
-    for side in ("a", "b"):
-        both = both.join(whole.select(F.col("set_key").alias(f"key_{side}"), F.col("n").alias(f"n_{side}"), F.col("grams").alias(f"grams_{side}")), f"key_{side}")
+    anchored = pairs.groupBy("key_b").agg(F.min("key_a").alias("key_a"))
+    answers = staged(_against_anchor(_with_sets(anchored, whole, "grams"), most_change), "answers")
+    near = [answers.select(F.col("key_b").alias(f"key_{s}"), F.col("key_a").alias(f"anchor_{s}"), F.col("change").isNotNull().alias(f"close_{s}")) for s in "ab"]
+    rest = pairs.join(near[1], "key_b").where("key_a <> anchor_b").join(near[0], "key_a", "left")
+    derivable = F.coalesce((F.col("anchor_a") == F.col("anchor_b")) & F.col("close_a") & F.col("close_b"), F.lit(False))
+    rest = staged(rest.select("key_a", "key_b", derivable.alias("derivable")), "rest")
+    full = shared_grams(_with_sets(rest.where("not derivable").drop("derivable"), whole, "grams"), "grams_a", "grams_b")
+    # |s & x| = |s & r| + |x & r| - |r| + |(s ^ r) & (x ^ r)| for sets s, x and their anchor r
+    changes = answers.select(F.col("key_b").alias("set_key"), F.col("n_b").alias("n"), (F.col("shared") - F.col("n_a")).alias("less"), F.col("shared").alias("kept"), "change")
+    derived = shared_grams(_with_sets(rest.where("derivable").drop("derivable"), changes, "change", "less", "kept"), "change_a", "change_b", "both")
+    derived = derived.withColumn("shared", F.col("less_a") + F.col("kept_b") + F.col("both"))
+    columns = ["key_a", "key_b", "n_a", "n_b", "shared"]
+    links = answers.select(columns).unionByName(derived.select(columns)).unionByName(full.select(columns))
     likeness = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    links = shared_grams(both, "grams_a", "grams_b").withColumn("likeness", likeness).where(F.col("likeness") >= least_likeness)
+    links = links.withColumn("likeness", likeness).where(F.col("likeness") >= least_likeness)
     return members, links.select("key_a", "key_b", "likeness")
 
 

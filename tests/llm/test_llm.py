@@ -181,6 +181,14 @@ def test_p4_equals_brute_force(spark, buckets, bits):
     assert len(got) == len(set(got)) and set(got) == truth and truth
 
 
+def test_p4_derived_answers_equal_full_ones(spark):
+    base = text(120)
+    docs = {f"d{i:02d}": edited(base, i % 9) for i in range(40)}
+    df = spark.createDataFrame([*docs.items()], "chunk_id string, text string")
+    full, derived = (sorted(tuple(map(bytes, (r["key_a"], r["key_b"]))) + (r["likeness"],) for r in neardups.near_duplicates(df, most_change=m)[1].collect()) for m in (-1.0, 1.0))
+    assert full == derived and len(full) > 100
+
+
 def test_p4_groups_are_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "node long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(8, 9)], "a long, b long")
