@@ -67,7 +67,7 @@ def _gram_rows(words: list[str], order: int, bits: int) -> tuple[np.ndarray, np.
     """(word number, gram slot) of the grams present in each word."""
     rows, grams = [], []
     for i, w in enumerate(words):
-        found = _grams(w[:40], order)
+        found = _grams(w, order)
         rows += [i] * len(found)
         grams += found
     if not grams:
@@ -223,10 +223,9 @@ def segments_of(path: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, in
     cuts = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]))
     out = []
     for a, b in zip(cuts, cuts[1:]):
-        mean = np.sort(scores[a:b].mean(axis=0))
-        lead = scores[a:b, path[a]].mean()
-        other = mean[-2] if lead >= mean[-1] else mean[-1]
-        out.append((int(path[a]), int(a), int(b), float(1 / (1 + np.exp(-np.clip((lead - other) * np.sqrt(b - a), -30, 30))))))
+        mean = scores[a:b].mean(axis=0, dtype=np.float64)
+        lead = mean[path[a]] - np.delete(mean, path[a]).max(initial=-np.inf)
+        out.append((int(path[a]), int(a), int(b), float(1 / (1 + np.exp(-np.clip(lead * np.sqrt(b - a), -30, 30))))))
     return out
 
 

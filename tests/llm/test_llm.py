@@ -293,6 +293,17 @@ def test_p8_held_out_accuracy_and_segments(spark, small):
     mixed = spark.createDataFrame([(1, " ".join(by["en"][:4]) + "\n" + " ".join(by["fr"][:2]) + "\n```\ndef les_des(a):\n```\n" + by["en"][5])], "doc_id long, text string")
     got = [(s["lang"]) for s in langs.language_segments(mixed, model).first()["segments"]]
     assert got == ["en", "fr", "en"]
+    # a plain stretch is sure of itself, whatever rounding does to its mean
+    sure = langs.language_segments(samples.select(F.col("sample_id").alias("doc_id"), "text"), model)
+    assert sure.where(F.size("segments") == 1).where(F.col("segments")[0]["confidence"] < 0.6).count() == 0
+
+
+def test_p8_confidence_is_the_lead_over_the_second_language():
+    scores = np.full((30, 3), 0.1, np.float32)
+    scores[:, 1] = 0.7
+    (segment,) = langs.segments_of(np.ones(30, np.int8), scores)
+    assert segment[:3] == (1, 0, 30) and segment[3] == pytest.approx(1 / (1 + np.exp(-0.6 * np.sqrt(30))), abs=1e-6)
+    assert langs.segments_of(np.zeros(30, np.int8), scores)[0][3] < 0.5 and langs.segments_of(np.zeros(2, np.int8), scores[:2, :1])[0][3] > 0.99
 
 
 def test_p8_labels_and_odd_tables(spark, small):
