@@ -99,6 +99,24 @@ def test_p1_finds_furniture_hyphens_and_misread_words(spark):
     assert "narrow ledger before evening" in fixed["s7"] and "every boxes" in fixed["s7"] and "Page 2" not in fixed["s7"] and "\f" not in fixed["s7"]
 
 
+def test_p1_parts_pages_without_form_feeds():
+    inner = ["Results Norvane AB-1234", "The clerk returned the narrow led-", "Page 1 of 2", "Results Norvane AB-1234", "CD-77 rev. 2  01.02.2024", "ger before evening and went", "home by 7", "boats. All was", "2", "well in the end."]
+    pages = scans.pages_of("\n".join(inner))
+    assert [[n for n, _ in p.lines] for p in pages] == [[1, 2, 3], [4, 5, 6, 7, 8, 9], [10]]
+    for plain in (["Total", "12", "13", "14", "end"], ["One line.", "42", "Another line."], ["Title AB-1234", "Title AB-1234", "text goes on here", "and ends."], ["", "7", ""]):
+        assert len(scans.pages_of("\n".join(plain))) == 1
+
+
+def test_p1_peels_furniture_behind_furniture(spark):
+    docs = page_documents(60)
+    doubled = [(i, t.replace("\f", "\f- 9 -\n")) for i, t in docs]
+    furniture = scans.train_furniture(spark.createDataFrame(docs, "id string, content string"))
+    for (_, t), (_, d) in zip(docs[:20], doubled[:20]):
+        found = {n for n, _ in scans.furniture_of(scans.pages_of(d), furniture)}
+        lines = d.split("\n")
+        assert {n + 1 for n, x in enumerate(lines) if "Harbour" in x or x.startswith("Page") or "- 9 -" in x} <= found
+
+
 def test_p1_takes_odd_tables(spark):
     for df in (odd(spark, "id", "content"), odd(spark, "id", "content").limit(0)):
         df = df.dropDuplicates(["id"])
