@@ -1,9 +1,9 @@
 """Most similar vectors for every vector.
 
 Method: balanced posting lists. Centroids are fitted on a bounded sample and split until the lists
-are of like size; vectors near a boundary are kept in several lists; the centroids are searched by
-a graph held in memory, from pivots along the nearest neighbours; a query reads the lists whose
-centroid is not much farther than its nearest (distance-ratio pruning). Neighbouring lists form
+are of like size; vectors near a boundary are kept in several lists; every vector is compared with
+all centroids, which the sample bounds; a query reads the lists whose centroid is not much farther
+than its nearest (distance-ratio pruning). Neighbouring lists form
 shards, so that a vector travels once per shard that it is kept or asked in. Every vector is
 indexed and every vector is a query.
 """
@@ -74,49 +74,29 @@ def shards_of(c: np.ndarray, shards: int) -> np.ndarray:
 
 
 @dataclass
-class CentroidGraph:
-    """Centroids, their shards, and for each pivot the centroids reached from it along the graph."""
+class Centroids:
+    """The centroids of a group's lists, and the shard of each."""
 
     centroids: np.ndarray
     shards: np.ndarray
-    pivots: np.ndarray
-    reached: list[np.ndarray]
 
     @classmethod
-    def build(cls, centroids: np.ndarray, shards: int, degree: int = 16, reach: int = 192) -> CentroidGraph:
-        k = len(centroids)
-        degree = min(degree, k - 1)
-        near = [np.argpartition(-(centroids[i : i + 512] @ centroids.T), degree, axis=1)[:, : degree + 1] for i in range(0, k, 512)] if k > 1 else [np.zeros((1, 1), np.int64)]
-        edges = np.concatenate(near)
-        step = max(1, int(np.sqrt(k) / 2))
-        pivots = np.arange(0, k, step)
-        reached = []
-        for p in pivots:
-            found, frontier = [p], [p]
-            have = {p}
-            while frontier and len(found) < reach:
-                following = [int(j) for i in frontier for j in edges[i] if int(j) not in have]
-                following = list(dict.fromkeys(following))
-                following.sort(key=lambda j: -float(centroids[j] @ centroids[p]))
-                frontier = following[: reach - len(found)]
-                have.update(frontier)
-                found += frontier
-            reached.append(np.array(found))
-        return cls(centroids, shards_of(centroids, shards), pivots, reached)
+    def build(cls, centroids: np.ndarray, shards: int) -> Centroids:
+        return cls(centroids, shards_of(centroids, shards))
 
     def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The up to `most` nearest centroids of each vector, nearest first, and their cosines."""
-        most = min(most, min(len(r) for r in self.reached))
+        """The up to `most` nearest centroids of each vector, nearest first, and their cosines; all are compared."""
+        k = len(self.centroids)
+        most = min(most, k)
         near = np.zeros((len(x), most), np.int64)
         cosine = np.zeros((len(x), most), np.float32)
-        pivot = (x @ self.centroids[self.pivots].T).argmax(axis=1)
-        for p in np.unique(pivot):
-            rows, pool = np.flatnonzero(pivot == p), self.reached[p]
-            s = x[rows] @ self.centroids[pool].T
+        step = max(1, SCORES // k)
+        for i in range(0, len(x), step):
+            s = x[i : i + step] @ self.centroids.T
             top = np.argpartition(-s, most - 1, axis=1)[:, :most]
             v = np.take_along_axis(s, top, axis=1)
             order = np.argsort(-v, axis=1)
-            near[rows], cosine[rows] = pool[np.take_along_axis(top, order, axis=1)], np.take_along_axis(v, order, axis=1)
+            near[i : i + step], cosine[i : i + step] = np.take_along_axis(top, order, axis=1), np.take_along_axis(v, order, axis=1)
         return near, cosine
 
 
@@ -136,8 +116,8 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return right[good], x.astype(np.float32)
 
 
-def fit(items: DataFrame, dim: int, per_list: int, sample: int, shards: int) -> dict[str, CentroidGraph]:
-    """A centroid graph per group, on at most `sample` vectors over all groups (a documented bound)."""
+def fit(items: DataFrame, dim: int, per_list: int, sample: int, shards: int) -> dict[str, Centroids]:
+    """The centroids per group, on at most `sample` vectors over all groups (a documented bound)."""
     counts = {r[0]: r[1] for r in items.groupBy("group").count().collect()}
     rows = sum(counts.values())
     share = min(1.0, sample / max(rows, 1))
@@ -150,7 +130,7 @@ def fit(items: DataFrame, dim: int, per_list: int, sample: int, shards: int) ->
         if not len(own):
             own = np.eye(1, dim, dtype=np.float32)
         lists = int(np.clip(n // per_list, 1, max(1, len(own) // 16)))
-        graphs[group] = CentroidGraph.build(split_centroids(own, lists), max(1, -(-shards * n // max(rows, 1))))
+        graphs[group] = Centroids.build(split_centroids(own, lists), max(1, -(-shards * n // max(rows, 1))))
     return graphs
 
 

@@ -177,6 +177,18 @@ def test_p3_recall_and_mutual_pairs(spark, small):
     assert pairs and all(a < b and u[a] @ u[b] > 0.8999 for a, b in pairs)
 
 
+def test_p3_finds_the_nearest_of_many_lists(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(400, 64)), 20, axis=0) + 0.9 * rng.normal(size=(8000, 64))
+    df = spark.createDataFrame([(i, "m", [float(v) for v in row]) for i, row in enumerate(x)], "id long, group string, vector array<float>")
+    lists = vectors.fit(df, 64, 16, 60_000, 4)["m"]
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[::20]
+    cosine = u @ lists.centroids.T
+    near, _ = lists.search(u, 10)
+    assert len(lists.centroids) > 400
+    assert np.allclose(np.take_along_axis(cosine, near, axis=1), -np.sort(-cosine, axis=1)[:, :10], atol=1e-5)
+
+
 def test_p3_takes_odd_vectors(spark):
     ok = [1.0] + [0.0] * 63
     rows = [(1, "g", ok), (1, "g", ok), (2, "g", ok), (3, None, ok), (4, None, ok), (5, "g", None), (6, "g", [1.0]), (7, "g", [float("nan")] * 64), (8, "g", [0.0] * 64), (None, "g", ok), (9, "g", [float("inf")] + ok[1:]), (10, "g", [None] + ok[1:])]
