@@ -56,13 +56,13 @@ def vector_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_similar(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar items of every item, by the hashes of their keys."""
-    return vectors.most_similar(vector_items(spark, d))
+    return vectors.most_similar(vector_items(spark, d), tie_col="key")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of items that are among each other's 10 most similar, with a cosine of 0.9 or more."""
     items = vector_items(spark, d)
-    pairs = vectors.mutual(vectors.most_similar(items, least=0.9), 0.9)
+    pairs = vectors.mutual(vectors.most_similar(items, least=0.9, tie_col="key"), 0.9)
     keys = items.select("id", "key")
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     named = keys.join(some, "id", "left_semi").distinct()

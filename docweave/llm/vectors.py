@@ -10,6 +10,7 @@ indexed and every vector is a query.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,9 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docweave.session import staged
 
 #: Scores held at once in a task.
 SCORES = 4_000_000
+#: Up to so many sets of equal vectors, and so many ids of copies, go to every task; more are shuffled.
+BROADCAST_SETS, BROADCAST_COPIES = 20_000, 1_000_000
 
 
 def split_centroids(x: np.ndarray, lists: int, seed: int = 3) -> np.ndarray:
@@ -134,6 +140,45 @@ def fit(items: DataFrame, dim: int, per_list: int, sample: int, shards: int) ->
     return graphs
 
 
+def equal_vectors(rows: DataFrame, dim: int) -> tuple[DataFrame, int]:
+    """(rep, id, tie) of every vector that others of its group equal once scaled to length 1, where rep is
+    the least id of them; and how many such sets there are."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right, x = unit_vectors(batch.column(3), dim)
+            codes = [int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in x + np.float32(0)]  # -0 is 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(right)) for i in range(3)), pa.array(codes, pa.int64())], ["id", "group", "tie", "code"])
+
+    schema = T.StructType([rows.schema["id"], rows.schema["group"], rows.schema["tie"], T.StructField("code", T.LongType())])
+    coded = rows.select("id", "group", "tie", "vector").mapInArrow(code, schema)
+    sets = staged(coded.groupBy("group", "code").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last"), "equal-sets")
+    n = sets.count()
+    members = coded.join(F.broadcast(sets) if n <= BROADCAST_SETS else sets, ["group", "code"]).groupBy("rep", "id").agg(F.min("tie").alias("tie"))
+    return staged(members, "equal"), n
+
+
+def with_copies(best: DataFrame, members: DataFrame, sets: int, k: int) -> DataFrame:
+    """(id, neighbour, cosine, rank) of all items, from those of single vectors and of one of each set of
+    equal ones. Of a set, the first `k` in order of tie that are not the item itself can be its neighbours."""
+    some = lambda df: F.broadcast(df) if sets <= BROADCAST_SETS else df
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("tie", "id"))
+    first = members.withColumn("place", place).where(F.col("place") <= k + 1)
+    first = staged(first.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("tie", F.col("id").alias("neighbour")))).alias("set")), "equal-first")
+    alone = F.array(F.struct(F.lit(None).cast(members.schema["tie"].dataType).alias("tie"), F.col("neighbour")))
+    others = best.join(some(first.withColumnRenamed("rep", "neighbour")), "neighbour", "left").select("id", "cosine", F.lit(1).alias("far"), F.explode(F.coalesce("set", alone)).alias("n"))
+    own = first.select(F.col("rep").alias("id"), F.lit(1.0).cast("float").alias("cosine"), F.lit(0).alias("far"), F.explode("set").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "far", "n.tie", "n.neighbour"))
+    ranked = others.unionByName(own).withColumn("rank", rank).where(F.col("rank") <= k + 1).select("id", "n.neighbour", "cosine", "rank")
+    ranked = staged(ranked, "equal-ranked")
+    reps = some(first.select(F.col("rep").alias("id")))
+    single = ranked.join(reps, "id", "left_anti").where(F.col("rank") <= k)
+    lists = ranked.join(reps, "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "cosine"))).alias("found"))
+    kept = F.slice(F.filter("found", lambda f: f["neighbour"] != F.col("id")), 1, k)
+    each = members.select("rep", "id").join(some(lists), "rep").select("id", F.posexplode(kept).alias("at", "f"))
+    return single.unionByName(each.select("id", "f.neighbour", "f.cosine", (F.col("at") + 1).alias("rank")))
+
+
 def most_similar(
     items: DataFrame,
     id_col: str = "id",
@@ -149,21 +194,30 @@ def most_similar(
     kept_ratio: float = 1.15,
     asked_ratio: float = 1.3,
     shards: int | None = None,
+    tie_col: str | None = None,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the `k` most similar vectors of the same group of every vector.
 
     Only neighbours with a cosine of at least `least` come out. Ids are longs; a repeated id must
-    repeat its vector and counts once. Vectors that are null, not of `dim` values, with a value that
-    is null or not finite, or with zeros only are left out; a null group is a group. Ties go to the smaller
-    id; of more than `k` equal neighbours in one list any may stay.
+    repeat its vector and group and counts once. Vectors that are null, not of `dim` values, with a value that
+    is null or not finite, or with zeros only are left out; a null group is a group. Of equal vectors those
+    with the smaller `tie_col` (the id, where none is named) come first; other ties go to the smaller id.
 
     Approximate: `kept_in` lists at most keep a vector, those at most `kept_ratio` times as far as
     its nearest; a query reads at most `asked` lists by `asked_ratio`. Recall grows with each.
     """
     spark = items.sparkSession
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("group"), F.col(vector_col).alias("vector")).where("id is not null")
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("group"), F.col(vector_col).alias("vector"), F.col(tie_col or id_col).alias("tie")).where("id is not null")
     if shards is None:
         shards = max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // 40_000))
+    members, sets = equal_vectors(rows, dim)
+    copies = members.where("id <> rep").select("id")
+    known = np.empty(0, np.int64)
+    if sets and copies.count() <= BROADCAST_COPIES:
+        known = copies.toArrow().column("id").to_numpy()
+    elif sets:
+        rows = rows.join(copies, "id", "left_anti")
+    left_out = spark.sparkContext.broadcast(np.sort(known))
     graphs = spark.sparkContext.broadcast(fit(rows, dim, per_list, sample, shards))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +231,7 @@ def most_similar(
 
         count = 0
         for batch in batches:
+            batch = batch.filter(pa.array(~np.isin(batch.column(0).to_numpy(zero_copy_only=False), left_out.value)))
             right, x = unit_vectors(batch.column(2), dim)
             ids = batch.column(0).to_numpy(zero_copy_only=False)[right]
             names = np.array(batch.column(1).take(pa.array(right)).to_pylist(), dtype=object)
@@ -225,11 +280,14 @@ def most_similar(
             target = np.ascontiguousarray(x[m].T)
             for i in range(0, len(q), max(1, SCORES // len(m))):
                 part = q[i : i + max(1, SCORES // len(m))]
-                s = x[part] @ target
+                s = np.minimum(x[part] @ target, np.float32(1))
                 good = s >= least
                 many = np.flatnonzero(good.sum(axis=1) > k + 1)
-                if len(many):  # only the best of a list can be among the best of all
+                if len(many):  # only the best of a list can be among the best of all; members are in order of id
                     top = np.argpartition(-s[many], k, axis=1)[:, : k + 1]
+                    last = np.take_along_axis(s[many], top, axis=1).min(axis=1)
+                    tied = np.flatnonzero((s[many] >= last[:, None]).sum(axis=1) > k + 1)
+                    top[tied] = np.argsort(-s[many[tied]], axis=1, kind="stable")[:, : k + 1]
                     good[many] = False
                     good[many[:, None], top] = True
                 r, c = np.nonzero(good)
@@ -251,7 +309,8 @@ def most_similar(
     answers = placed.groupBy("group", "shard").applyInArrow(answer, "id long, neighbour long, cosine float")
     best = answers.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return with_copies(best, members, sets, k) if sets else best
 
 
 def mutual(similar: DataFrame, least: float) -> DataFrame:

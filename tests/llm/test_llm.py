@@ -189,6 +189,27 @@ def test_p3_finds_the_nearest_of_many_lists(spark):
     assert np.allclose(np.take_along_axis(cosine, near, axis=1), -np.sort(-cosine, axis=1)[:, :10], atol=1e-5)
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_p3_copies_pair_by_their_keys(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(vectors, "BROADCAST_SETS", limit)
+        monkeypatch.setattr(vectors, "BROADCAST_COPIES", limit)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    x = [base] * 60 + [base + 0.05 * rng.normal(size=64) for _ in range(4)] + [rng.normal(size=64)] * 3
+    keys = [f"k{i * 37 % 67:02d}" for i in range(67)]
+    rows = [(k, "m", [float(v) for v in row]) for k, row in zip(keys, x)]
+    df = spark.createDataFrame(rows, "key string, group string, vector array<double>").withColumn("id", F.xxhash64("key"))
+    name = {r["id"]: r["key"] for r in df.select("id", "key").collect()}
+    got: dict[str, list] = {}
+    for r in sorted(vectors.most_similar(df, least=0.9, tie_col="key").collect(), key=lambda r: r["rank"]):
+        got.setdefault(name[r["id"]], []).append(name[r["neighbour"]])
+    copies, near, few = sorted(keys[:60]), keys[60:64], sorted(keys[64:])
+    assert all(got[c] == [o for o in copies if o != c][:10] for c in copies)
+    assert all(got[f] == [o for o in few if o != f] for f in few)
+    assert all(len(got[n]) == 10 and [o for o in got[n] if o in copies] == copies[: 10 - sum(o in near for o in got[n])] for n in near)
+
+
 def test_p3_takes_odd_vectors(spark):
     ok = [1.0] + [0.0] * 63
     rows = [(1, "g", ok), (1, "g", ok), (2, "g", ok), (3, None, ok), (4, None, ok), (5, "g", None), (6, "g", [1.0]), (7, "g", [float("nan")] * 64), (8, "g", [0.0] * 64), (None, "g", ok), (9, "g", [float("inf")] + ok[1:]), (10, "g", [None] + ok[1:])]
