@@ -117,6 +117,20 @@ def test_p1_peels_furniture_behind_furniture(spark):
         assert {n + 1 for n, x in enumerate(lines) if "Harbour" in x or x.startswith("Page") or "- 9 -" in x} <= found
 
 
+def test_p1_counts_copies_once_and_offers_readings_to_the_editor(spark):
+    texts = ["the uncommon xylographer spoke", "an old xylographer spoke again", "one xylographer left", *["a copied xylograpber spoke"] * 9]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
+    counts = {r["word"]: r["n"] for r in scans.lexicon(df, scans.train_furniture(df)).collect()}
+    assert counts["xylographer"] == 3 and counts["xylograpber"] == 1 and counts["spoke"] == 3
+    edits = [scans.edit_features("tbe", 1, "the", 900, ((1, "b", "h"),)), scans.edit_features("tbe", 1, "the", 900, ((0, "b", "h"), (1, "b", "h")))]
+    editor = scans.Perceptron.fit([([scans.edit_features("tbe", 1, "tbe", 1, ()), e], 1) for e in edits] * 20)
+    long = "landesverwaltungsgerichtsbarkeit"
+    spoilt = long.replace("lan", "1an").replace("keit", "kcit")
+    words = spark.createDataFrame([("xylographer", 4), ("xylograpcer", 3), ("xylographcr", 3), (long, 50), (spoilt, 1)], "word string, n long")
+    fixes = {r["word"]: r["fixed"] for r in scans.corrections(words, editor).collect()}
+    assert fixes["xylographcr"] == "xylographer" and fixes[spoilt] == long
+
+
 def test_p1_takes_odd_tables(spark):
     for df in (odd(spark, "id", "content"), odd(spark, "id", "content").limit(0)):
         df = df.dropDuplicates(["id"])
