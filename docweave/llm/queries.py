@@ -10,29 +10,21 @@ from docweave.session import staged
 from docweave.tables import table
 
 
-def source_texts(spark: SparkSession, d: str) -> DataFrame:
-    """(id, content) of source documents, each id once; redelivered rows repeat the same text."""
-    return table(spark, d, "source_documents").where("id is not null").groupBy("id").agg(F.max("content").alias("content"))
-
-
 def p1_defects(spark: SparkSession, d: str) -> DataFrame:
     """Every defect of every line, with what is read there and what it should be."""
-    docs = staged(source_texts(spark, d), "p1-docs")
-    furniture = scans.train_furniture(docs)
-    words = staged(scans.lexicon(docs, furniture), "p1-words")
-    models = scans.train(docs, words, furniture)
-    fixes = staged(scans.corrections(words, models.editor), "p1-fixes")
-    return scans.defects(docs, words, models, fixes)
+    ids, _, found = scans.find(table(spark, d, "source_documents"))
+    return found.join(ids, "text_key").select("id", "line_no", "kind", "seen", "fixed")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that are furniture, end in a hyphenated word or hold a misread word."""
-    return p1_defects(spark, d).select("id", "line_no", "kind").distinct()
+    ids, _, found = scans.find(table(spark, d, "source_documents"))
+    return found.select("text_key", "line_no", "kind").distinct().join(ids, "text_key").select("id", "line_no", "kind")
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every source document as continuous paragraphs."""
-    return scans.repair(source_texts(spark, d), p1_defects(spark, d))
+    return scans.repair(table(spark, d, "source_documents"))
 
 
 def p2_checked(spark: SparkSession, d: str) -> DataFrame:

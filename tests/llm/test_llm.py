@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import history, langs, leaks, neardups, pieces, queries, scans, tokens, vectors, words
+from docweave.llm import editor, furniture, history, langs, leaks, neardups, pieces, queries, scans, tokens, vectors, words
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -79,66 +79,91 @@ def page_documents(n: int) -> list[tuple[str, str]]:
     return out
 
 
+def spoilt_documents() -> tuple[list[tuple[str, str, int]], set]:
+    """Page documents of which every third has misread words and a word split at a line's end; and the planted cases."""
+    rng, docs, planted = random.Random(4), [], set()
+    for i, t in page_documents(120):
+        lines = t.split("\n")
+        if i[1:].isdigit() and int(i[1:]) % 3 == 0:
+            for no, (seen, true) in [((3, ("c", "e")), (5, ("0", "o")), (7, ("|", "l")))[int(i[1:]) // 3 % 3]]:
+                words = lines[no - 1].split()
+                at = next((k for k, w in enumerate(words) if true in w and len(w) > 4), None)
+                if at is not None:
+                    words[at] = words[at].replace(true, seen, 1)
+                    lines[no - 1] = " ".join(words)
+                    planted.add((i, no, "char"))
+            lines[8] = "the patient clerk returned the narrow led-"
+            lines[9] = "ger before evening."
+            planted.add((i, 9, "hyphen"))
+        planted |= {(i, n + 1, "furniture") for n, line in enumerate(lines) if "Harbour" in line or line.startswith("Page")}
+        docs.append((i, "\n".join(lines), 3))
+    rng.shuffle(docs)
+    return docs, planted
+
+
 def test_p1_finds_furniture_hyphens_and_misread_words(spark):
-    docs = page_documents(120)
-    lines = docs[7][1].split("\n")
-    lines[2] = "the patient clerk returned the narrow led-"
-    lines[3] = "ger before evening."
-    lines[4] = "another patieut clerk evcry boxes under the station."
-    docs[7] = ("s7", "\n".join(lines))
-    df = spark.createDataFrame(docs, "id string, content string")
-    furniture = scans.train_furniture(df)
-    lexicon = scans.lexicon(df, furniture)
-    models = scans.train(df, lexicon, furniture)
-    found = scans.defects(df, lexicon, models, scans.corrections(lexicon, models.editor))
-    got = {(r["id"], r["line_no"], r["kind"]) for r in found.collect()}
-    heads = {(i, n + 1, "furniture") for i, t in docs for n, line in enumerate(t.split("\n")) if "Harbour" in line or line.startswith("Page")}
-    assert heads <= got and ("s7", 3, "hyphen") in got and ("s7", 5, "char") in got
-    assert len(got - heads) == 2
-    fixed = {r["id"]: r["content"] for r in scans.repair(df, found).collect()}
-    assert "narrow ledger before evening" in fixed["s7"] and "every boxes" in fixed["s7"] and "Page 2" not in fixed["s7"] and "\f" not in fixed["s7"]
-
-
-def test_p1_parts_pages_without_form_feeds():
-    inner = ["Results Norvane AB-1234", "The clerk returned the narrow led-", "Page 1 of 2", "Results Norvane AB-1234", "CD-77 rev. 2  01.02.2024", "ger before evening and went", "home by 7", "boats. All was", "2", "well in the end."]
-    pages = scans.pages_of("\n".join(inner))
-    assert [[n for n, _ in p.lines] for p in pages] == [[1, 2, 3], [4, 5, 6, 7, 8, 9], [10]]
-    for plain in (["Total", "12", "13", "14", "end"], ["One line.", "42", "Another line."], ["Title AB-1234", "Title AB-1234", "text goes on here", "and ends."], ["", "7", ""]):
-        assert len(scans.pages_of("\n".join(plain))) == 1
-
-
-def test_p1_peels_furniture_behind_furniture(spark):
+    docs, planted = spoilt_documents()
+    docs += [(f"copy{i}", docs[0][1], 3) for i in range(40)]
+    planted |= {(f"copy{i}", n, k) for i in range(40) for d, n, k in planted if d == docs[0][0]}
+    df = spark.createDataFrame(docs, "id string, content string, pages int")
+    ids, texts, found = scans.find(df)
+    assert texts.count() == 120
+    got = {(r["id"], r["line_no"], r["kind"]) for r in found.join(ids, "text_key").collect()}
+    assert len(got & planted) >= 0.97 * len(planted) and len(got & planted) >= 0.97 * len(got)
+    fixed = {r["id"]: r["content"] for r in scans.repair(df).collect()}
+    assert len(fixed) == len(docs)
+    assert "narrow ledger before evening" in fixed["s0"] and "Page 2" not in fixed["s0"] and "\f" not in fixed["s0"]
+
+
+def test_p1_parts_pages_without_form_feeds_and_at_any_depth():
     docs = page_documents(60)
-    doubled = [(i, t.replace("\f", "\f- 9 -\n")) for i, t in docs]
-    furniture = scans.train_furniture(spark.createDataFrame(docs, "id string, content string"))
-    for (_, t), (_, d) in zip(docs[:20], doubled[:20]):
-        found = {n for n, _ in scans.furniture_of(scans.pages_of(d), furniture)}
-        lines = d.split("\n")
-        assert {n + 1 for n, x in enumerate(lines) if "Harbour" in x or x.startswith("Page") or "- 9 -" in x} <= found
-
-
-def test_p1_counts_copies_once_and_offers_readings_to_the_editor(spark):
-    texts = ["the uncommon xylographer spoke", "an old xylographer spoke again", "one xylographer left", *["a copied xylograpber spoke"] * 9]
-    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
-    counts = {r["word"]: r["n"] for r in scans.lexicon(df, scans.train_furniture(df)).collect()}
-    assert counts["xylographer"] == 3 and counts["xylograpber"] == 1 and counts["spoke"] == 3
-    edits = [scans.edit_features("tbe", 1, "the", 900, ((1, "b", "h"),)), scans.edit_features("tbe", 1, "the", 900, ((0, "b", "h"), (1, "b", "h")))]
-    editor = scans.Perceptron.fit([([scans.edit_features("tbe", 1, "tbe", 1, ()), e], 1) for e in edits] * 20)
-    long = "landesverwaltungsgerichtsbarkeit"
-    spoilt = long.replace("lan", "1an").replace("keit", "kcit")
-    words = spark.createDataFrame([("xylographer", 4), ("xylograpcer", 3), ("xylographcr", 3), (long, 50), (spoilt, 1)], "word string, n long")
-    fixes = {r["word"]: r["fixed"] for r in scans.corrections(words, editor).collect()}
-    assert fixes["xylographcr"] == "xylographer" and fixes[spoilt] == long
+    model = furniture.fit([(t, 3) for _, t in docs])
+    for i, t in docs[:20]:
+        bare = t.replace("\f", "")
+        lines = bare.split("\n")
+        want = {n for n, x in enumerate(lines) if "Harbour" in x or x.startswith("Page")}
+        for pages in (3, None):
+            assert want - {0} <= model.lines_of(furniture.Lines(bare, pages))
+        deep = t.replace(f"\fHarbour report {i[1:]}", "\f" + "\n".join([f"Harbour report {i[1:]}"] * 9))
+        lines = deep.replace("\f", "").split("\n")
+        taken = model.lines_of(furniture.Lines(deep, 3))
+        assert {n for n, x in enumerate(lines) if n and "Harbour" in x} <= taken
+
+
+def test_p1_learns_misreadings_from_the_corpus():
+    rng = random.Random(2)
+    letters = "abdeghiklmnoprstuvw"
+    counts = {"".join(rng.choice(letters) for _ in range(9)): 400 for _ in range(500)}
+    planted = {("cl", "d"): 60, ("c", "e"): 90, ("0", "o"): 40, ("m", "rn"): 0}
+    for (seen, true), n in planted.items():
+        for w in [w for w in counts if true in w and counts[w] == 400][:n]:
+            counts.setdefault(w.replace(true, seen, 1), 1)
+    units = editor.learn_units(counts)
+    assert set(units) == {u for u, n in planted.items() if n}
+    model = editor.Editor.fit(counts)
+    long = "landesverwaltungsgerichtsbarkeit" * 2
+    assert model.gain(long.replace("d", "cl", 1)[:-2] + "it", 1, long, 50) > 0 and model.gain("zzz", 1, "yyy", 400) is None
+    w = next(w for w in counts if "e" in w and counts[w] == 400)
+    assert model.gain(w.replace("e", "c", 1), 1, w, 400) > 0 > model.gain(w, 400, w.replace("e", "c", 1), 1) if model.gain(w, 400, w.replace("e", "c", 1), 1) else True
+
+
+def test_p1_aligns_by_the_fewest_misreadings():
+    units = {("ri", "n"): 5.0, ("c", "e"): 9.0, ("m", "rn"): 2.0}
+    assert editor.align("cvcry", "every", units) == [(0, "c", "e"), (2, "c", "e")]
+    assert editor.align("retumed", "returned", units) == [(4, "m", "rn")] and editor.align("word", "word", units) is None
+    assert editor.align("coritract", "contract", units) == [(2, "ri", "n")] and editor.align("abc", "abd", units) is None
+    assert editor.operations("coritract", [(2, "ri", "n")]) == [(2, "replace r n"), (3, "delete i")]
+    atoms = editor.strokes(units)
+    assert editor.key_of("coritract", atoms) == editor.key_of("contract", atoms) and editor.key_of("retumed", atoms) == editor.key_of("returned", atoms)
 
 
 def test_p1_takes_odd_tables(spark):
     for df in (odd(spark, "id", "content"), odd(spark, "id", "content").limit(0)):
-        df = df.dropDuplicates(["id"])
-        furniture = scans.train_furniture(df)
-        lexicon = scans.lexicon(df, furniture)
-        models = scans.train(df, lexicon, furniture)
-        found = scans.defects(df, lexicon, models, scans.corrections(lexicon, models.editor))
-        assert found.columns == ["id", "line_no", "kind", "seen", "fixed"] and scans.repair(df, found).count() == df.count()
+        ids, _, found = scans.find(df, pages_col=None)
+        assert found.columns == ["text_key", "line_no", "kind", "seen", "fixed"] and found.join(ids, "text_key").count() >= 0
+        fixed = {r["id"]: r["content"] for r in scans.repair(df, pages_col=None).collect()}
+        assert set(fixed) == {r["id"] for r in df.collect()} - {None}
+        assert not fixed or fixed["a"] is None and fixed["b"] == "" and fixed["d"] == "tiny" and fixed["e"].split() == LONG.split()
 
 
 # p2
