@@ -1,15 +1,18 @@
 """Deduplicating new batches against all history.
 
-Method: documents are fingerprinted by winnowing: of every few neighbouring word sequences the one
-with the least hash is kept, so texts that share a long enough run of words share a fingerprint.
-Partitioned Bloom filters prescreen the fingerprints of a new batch; the positives are looked up in
-a persistent fingerprint store; pairs that share enough fingerprints are verified on their whole
-word-sequence sets; then filters and store take in the batch. The history is never read as texts
-again.
+Method: a text's fingerprints are the rarer part of its distinct word sequences (3 words each, in
+one order for the whole store). Any two texts with the asked likeness share one of them, so none is
+missed. Partitioned Bloom filters prescreen the fingerprints of a new batch; the positives are
+looked up in a persistent store, only in its buckets that they fall into; pairs whose sizes and
+positions leave room for the likeness are verified on their whole sets; then filters and store take
+in the batch.
+
+A new batch is first held against the accepted texts. What is alike to one of them is rejected and
+met with no other rejected text. The rest meets itself in order, and what is then accepted is held
+against the rejected texts, as these pairs are asked too. Texts of the history aren't read again.
 """
 
-from __future__ import annotations
-
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,46 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.words import gram_codes, gram_sets, mix, signed, word_codes, words_of
+from docweave.llm.words import gram_sets, mix, signed, words_of
 from docweave.session import scratch_path, staged
 
 GRAM_WORDS, LEAST_WORDS = 3, 20
-#: Fingerprints are sequences of 7 words, one kept of each 4 in a row: any 10 equal words in a row share one.
-PRINT_WORDS, PRINT_WINDOW = 7, 4
 BLOOM_HASHES = 4
 
-
-def winnow(codes: np.ndarray, window: int) -> np.ndarray:
-    """Distinct least hashes of all windows of `window` codes; of a shorter list the least one."""
-    if len(codes) <= window:
-        return codes[[codes.argmin()]] if len(codes) else codes
-    return np.unique(np.lib.stride_tricks.sliding_window_view(codes, window).min(axis=1))
-
-
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, n_grams, grams, prints) per row: distinct 3-word sequences as sorted packed hashes, and
-    the winnowed fingerprints. Texts of fewer than 20 words, null ones too, have none of either."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                lists = [w if len(w) >= LEAST_WORDS else [] for w in map(words_of, batch.column(1).to_pylist())]
-                owner, grams = gram_sets(lists, GRAM_WORDS, LEAST_WORDS)
-                ends = np.searchsorted(owner, np.arange(len(lists) + 1))
-                codes, lengths = word_codes(lists)
-                first = np.concatenate(([0], np.cumsum(lengths)))
-                sets = [grams[a:b] for a, b in zip(ends, ends[1:])]
-                prints = [signed(winnow(gram_codes(codes[a:b], PRINT_WORDS), PRINT_WINDOW)) for a, b in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
-                    ["key", "n_grams", "grams", "prints"],
-                )
-
-    schema = T.StructType(
-        [T.StructField("key", docs.schema[id_col].dataType), T.StructField("n_grams", T.IntegerType()), T.StructField("grams", T.BinaryType()), T.StructField("prints", T.ArrayType(T.LongType()))]
-    )
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+FRESH = "text_key binary, first_id {}, n int, grams binary, prints array<long>"
+#: A batch of the store is one table; `kind` says which of its columns a row has.
+STORE = "print long, text_key binary, n int, pos int, grams binary, bits binary, id {}, in_store boolean, other_key binary, likeness double, batch string, kind string, accepted int, bucket int"
 
 
 def shared_grams(pairs: DataFrame, left: str, right: str, name: str = "shared") -> DataFrame:
@@ -76,6 +48,36 @@ def shared_grams(pairs: DataFrame, left: str, right: str, name: str = "shared")
     return pairs.select(*kept, left, right).mapInArrow(run, schema)
 
 
+def _sets_of(texts: list[str | None]) -> list[np.ndarray]:
+    owner, grams = gram_sets([words_of(t) for t in texts], GRAM_WORDS, LEAST_WORDS)
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [grams[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def count_sketch(texts: DataFrame, bits: int) -> np.ndarray:
+    """Counts of word sequences in 2^bits slots, over all texts: the order of rarity. Its size is fixed."""
+    slots, block = 1 << bits, 1 << max(bits - 6, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                for grams in _sets_of(batch.column(0).slice(at, 2000).to_pylist()):
+                    counts[(grams % np.uint64(slots)).astype(np.int64)] += 1
+        for i in range(0, slots, block):
+            if counts[i : i + block].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), pa.array([counts[i : i + block].tobytes()], pa.binary())], ["block", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table([table.column("block").slice(0, 1), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros(slots, np.uint16)
+    for block_no, counts in texts.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        out[block_no * block : (block_no + 1) * block] = np.frombuffer(counts, np.uint16)
+    return out
+
+
 def _bits_of(prints: np.ndarray, size: int) -> np.ndarray:
     """Bit numbers of fingerprints in a filter of `size` bits, one row per hash function."""
     x = mix(prints.view(np.uint64))
@@ -84,64 +86,235 @@ def _bits_of(prints: np.ndarray, size: int) -> np.ndarray:
 
 
 class History:
-    """The persistent store in the shared folder: fingerprinted documents, decisions, Bloom filters.
-
-    Each batch appends one folder to the first two; the filters are written anew, as they are small
-    (`bits_per_print` bits a fingerprint of the expected history, over `buckets` partitions).
-    """
-
-    def __init__(self, spark: SparkSession, schema: T.StructType, expected_prints: int, root: str, bits_per_print: int = 12, bucket_bits: int = 1 << 22):
-        self.spark, self.schema, self.root = spark, schema, root
-        total = max(expected_prints, 1) * bits_per_print
-        self.buckets = max(1, -(-total // bucket_bits))
-        self.bits = max(1 << 10, -(-total // self.buckets) // 8 * 8 + 8)
-        self.filters = spark.createDataFrame([], "bucket int, bits binary")
+    """A persistent store of accepted and rejected documents in a folder all executors share.
 
-    def bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64("print"), F.lit(self.buckets)).cast("int")
+    Open one on a new folder to begin it, or on an old one, in a later session too, to go on. Every
+    batch adds a folder of its own; an entry in `batches` makes it count, so a batch that fails
+    half-way leaves none. A batch has rows of five kinds, each in a folder: `print` (fingerprints, by
+    decision and bucket), `set` (whole sets, by bucket), `bloom` (filters), `pair` and `document`.
 
-    def documents(self, before: int) -> DataFrame:
-        """Fingerprinted documents of the batches before the `before`-th."""
-        folders = [f"{self.root}/documents/{i:06d}" for i in range(before)]
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def decisions(self, kind: T.DataType) -> DataFrame:
-        return self.spark.read.schema(T.StructType([T.StructField("key", kind), T.StructField("accepted", T.BooleanType())])).parquet(f"{self.root}/decided/*")
-
-    def fill(self, new: DataFrame) -> None:
-        """Take the fingerprints of a batch into the filters."""
-        size, names = self.bits, ["bucket", "bits"]
+    `least`, the number of buckets and the order of word sequences are fixed by the first batch.
+    """
 
-        def fill(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def __init__(self, spark: SparkSession, root: str, least: float = 0.5, bucket_prints: int = 1_000_000, bits_per_print: int = 12, sketch_bits: int = 21):
+        self.spark, self.root, self.least = spark, root, least
+        self.bucket_prints, self.bits_per_print, self.sketch_bits = bucket_prints, bits_per_print, sketch_bits
+        self.batches, self.id_type = sorted(self._names("batches")), "string"
+        self.buckets, self.sketch = 1, None
+        if self.batches:
+            fixed = spark.read.parquet(f"{root}/fixed").first()
+            self.buckets, self.least, self.id_type = fixed["buckets"], fixed["least"], fixed["id_type"]
+            self._share(np.frombuffer(fixed["counts"], np.uint16))
+
+    def _path(self, name: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, name: str) -> list[str]:
+        path, fs = self._path(name)
+        return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _share(self, sketch: np.ndarray) -> None:
+        self.sketch = self.spark.sparkContext.broadcast(sketch)
+
+    def _rows(self, kind: str, *columns: str) -> DataFrame:
+        """Rows of a kind of all batches that count."""
+        if not self.batches:
+            return self.spark.createDataFrame([], STORE.format(self.id_type)).select(*columns)
+        whole = self.spark.read.schema(STORE.format(self.id_type)).parquet(f"{self.root}/store")
+        return whole.where((F.col("kind") == kind) & F.col("batch").isin(self.batches)).select(*columns)
+
+    def _write(self, tag: str, **kinds: DataFrame) -> None:
+        """Write a batch's rows by kind; a bucket's rows into one file."""
+        parts = []
+        for kind, df in kinds.items():
+            for c in ("accepted", "bucket"):
+                df = df if c in df.columns else df.withColumn(c, F.lit(-1))
+            spread = kind in ("print", "set") and self.buckets > 1
+            parts.append((df.repartition("bucket") if spread else df.coalesce(1) if kind in ("print", "set") else df).withColumn("kind", F.lit(kind)))
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part, allowMissingColumns=True)
+        whole.write.partitionBy("kind", "accepted", "bucket").parquet(f"{self.root}/store/batch={tag}")
+        path, fs = self._path(f"batches/{tag}")
+        fs.mkdirs(path)  # from here on the batch counts
+        self.batches.append(tag)
+
+    def bucket(self, column: str) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def _buckets_of(self, df: DataFrame, column: str) -> list[int]:
+        if self.buckets == 1:
+            return [0]
+        return [r[0] for r in df.select(self.bucket(column)).distinct().collect()]  # at most the number of buckets
+
+    def prints(self, accepted: bool, buckets: list[int]) -> DataFrame:
+        return self._rows("print", "print", "text_key", "n", "pos", "accepted", "bucket").where((F.col("accepted") == int(accepted)) & F.col("bucket").isin(buckets))
+
+    def sets(self, buckets: list[int]) -> DataFrame:
+        return self._rows("set", "text_key", "n", "grams", "bucket").where(F.col("bucket").isin(buckets))
+
+    def documents(self) -> DataFrame:
+        """(id, text_key, accepted) of all documents; text_key is null for texts that are alike to none."""
+        return self._rows("document", "id", "text_key", F.col("in_store").alias("accepted"))
+
+    def fingerprints(self, texts: DataFrame) -> DataFrame:
+        """(text_key, first_id, n, grams, prints): distinct word sequences, packed and sorted, and the
+        fingerprints, rarest first. Texts of fewer than 20 words are left out."""
+        shared, least = self.sketch, self.least
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(at, 2000)
+                    kept, sets, prints = [], [], []
+                    for i, grams in enumerate(_sets_of(batch.column(2).to_pylist())):
+                        if len(grams):
+                            size = len(grams) - int(np.ceil(least * len(grams) - 1e-9)) + 1
+                            order = np.lexsort((grams, counts[(grams % np.uint64(len(counts))).astype(np.int64)]))
+                            kept.append(i)
+                            sets.append(grams)
+                            prints.append(signed(grams[order[:size]]))
+                    part = batch.take(pa.array(kept, pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
+                        ["text_key", "first_id", "n", "grams", "prints"],
+                    )
+
+        return texts.select("text_key", "first_id", "text").mapInArrow(run, FRESH.format(self.id_type))
+
+    def filters(self, prints: DataFrame) -> DataFrame:
+        """(pos, bits) of fingerprints, pos being their bucket; a filter's length follows their number."""
+        per_print, names = self.bits_per_print, ["pos", "bits"]
+
+        def fill(key: tuple, table: pa.Table) -> pa.Table:
+            size = max(1 << 10, -(-table.num_rows * per_print // 8) * 8)
             bits = np.zeros(size // 8, np.uint8)
-            for old in right.column("bits").to_pylist():
-                bits |= np.frombuffer(old, np.uint8)
-            at = _bits_of(left.column("print").to_numpy(), size).ravel()
+            at = _bits_of(table.column("print").to_numpy(), size).ravel()
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
             return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=names)
 
-        added = new.select(F.explode("prints").alias("print")).select(self.bucket().alias("bucket"), "print")
-        self.filters = staged(added.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInArrow(fill, "bucket int, bits binary"), "bloom")
+        return prints.select(self.bucket("print").alias("at"), "print").groupBy("at").applyInArrow(fill, "pos int, bits binary")
 
-    def positives(self, prints: DataFrame) -> DataFrame:
-        """The rows (print, key, n_prints) of a batch whose fingerprint may be in the store."""
-        size, schema = self.bits, prints.schema
+    def positives(self, probes: DataFrame) -> DataFrame:
+        """The rows (print, text_key, n, pos) whose fingerprint may be in the store."""
+        schema = probes.schema
 
         def screen(left: pa.Table, right: pa.Table) -> pa.Table:
             left = left.select(schema.names)
-            if not right.num_rows or not left.num_rows:
-                return left.slice(0, 0)
-            bits = np.frombuffer(right.column("bits")[0].as_py(), np.uint8)
-            at = _bits_of(left.column("print").to_numpy(), size)
-            hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            return left.filter(pa.array(hit.all(axis=0)))
-
-        rows = prints.select("*", self.bucket().alias("bucket"))
-        return rows.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInArrow(screen, schema)
-
-
-#: A batch's positive fingerprints up to this many go to every task that scans the store; beyond, both are shuffled.
-BROADCAST_PRINTS = 1_000_000
+            hit = np.zeros(left.num_rows, bool)
+            prints = left.column("print").to_numpy()
+            for packed in right.column("bits"):
+                bits = np.frombuffer(packed.as_py(), np.uint8)
+                rest = np.flatnonzero(~hit)
+                at = _bits_of(prints[rest], len(bits) * 8)
+                hit[rest] = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+            return left.filter(pa.array(hit))
+
+        filters = self._rows("bloom", F.col("pos").alias("bucket"), "bits")
+        return probes.withColumn("bucket", self.bucket("print")).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(screen, schema)
+
+    def _candidates(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        """(new, old): pairs with a common fingerprint whose sizes and places leave room for the likeness."""
+        a = new.select("print", F.col("text_key").alias("new"), F.col("n").alias("n_new"), F.col("pos").alias("pos_new"))
+        b = old.select("print", F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("pos").alias("pos_old"))
+        room = F.least(F.col("n_new") - F.col("pos_new"), F.col("n_old") - F.col("pos_old"))
+        need = (F.col("n_new") + F.col("n_old")) * (self.least / (1 + self.least)) - 1e-6
+        return a.join(b, "print").where(room >= need).select("new", "old").distinct()
+
+    def _verified(self, pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+        """The pairs (new, old, likeness) that are alike, by their whole sets."""
+        a = new.select(F.col("text_key").alias("new"), F.col("n").alias("n_new"), F.col("grams").alias("grams_new"))
+        b = old.select(F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("grams").alias("grams_old"))
+        shared = shared_grams(pairs.join(a, "new").join(b, "old"), "grams_new", "grams_old")
+        likeness = F.col("shared") / (F.col("n_new") + F.col("n_old") - F.col("shared"))
+        return shared.select("new", "old", likeness.alias("likeness")).where(F.col("likeness") >= self.least)
+
+    def _looked_up(self, probes: DataFrame, fresh: DataFrame, accepted: bool) -> DataFrame:
+        """Pairs (new, old, likeness) of a batch's texts with accepted or with rejected texts of the store, the same text among them."""
+        found = self._candidates(probes, self.prints(accepted, self._buckets_of(probes, "print")))
+        if self.buckets > 1:  # the buckets of the sets are known from the candidates
+            found = staged(found, "candidates")
+        return self._verified(found, fresh, self.sets(self._buckets_of(found, "old")).dropDuplicates(["text_key"]))
+
+    def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "content") -> str:
+        """Check a batch against the store and take it in; returns the batch's name in the store.
+
+        The first batch is accepted as it is. An id must come once; rows without one are left out.
+        """
+        begun = bool(self.batches)
+        tag = f"{len(self.batches):06d}-{uuid.uuid4().hex[:8]}"
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+        texts = rows.where("text is not null").groupBy("text_key").agg(F.min("id").alias("first_id"), F.any_value("text").alias("text"))
+        if not begun:
+            self.id_type = docs.schema[id_col].dataType.simpleString()
+            self._share(count_sketch(texts.select("text"), self.sketch_bits))
+        fresh = staged(self.fingerprints(texts), "fresh")
+        probes = fresh.select("text_key", "n", F.posexplode("prints").alias("pos", "print")).select("print", "text_key", "n", "pos")
+        kinds = {}
+        if begun:
+            status, kinds["pair"] = self._decide(fresh, probes)
+        else:
+            total = fresh.agg(F.sum(F.size("prints"))).first()[0] or 0
+            self.buckets = 1 << max(0, (total // self.bucket_prints).bit_length())
+            fixed = [(bytearray(self.sketch.value.tobytes()), self.buckets, self.least, self.id_type)]
+            self.spark.createDataFrame(fixed, "counts binary, buckets int, least double, id_type string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fixed")
+            status = fresh.select("text_key", "first_id", F.lit(1).alias("accepted"), F.lit(False).alias("known"))
+        added = status.where("not known").select("text_key", "accepted")
+        kinds["print"] = probes.join(added, "text_key").select("*", self.bucket("print").alias("bucket"))
+        kinds["set"] = fresh.join(added, "text_key", "left_semi").select("text_key", "n", "grams", self.bucket("text_key").alias("bucket"))
+        kinds["bloom"] = self.filters(probes)
+        first = F.lit(True) if not begun else ~F.col("known") & (F.col("id") == F.col("first_id"))
+        decided = rows.select("id", "text_key").join(status, "text_key", "left")
+        taken_in = F.when(F.col("accepted").isNull(), True).otherwise((F.col("accepted") == 1) & first)
+        kinds["document"] = decided.select("id", F.when(F.col("accepted").isNotNull(), F.col("text_key")).alias("text_key"), taken_in.alias("in_store"))
+        self._write(tag, **kinds)
+        return tag
+
+    def _decide(self, fresh: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(text_key, first_id, accepted, known) of a batch's texts, and its pairs. A known text is in the store, accepted."""
+        positive = staged(self.positives(probes), "positive")
+        by_history = staged(self._looked_up(positive, fresh, True), "by-history")
+        gone = by_history.groupBy(F.col("new").alias("text_key")).agg(F.max(F.col("new") == F.col("old")).alias("known"))
+        free = fresh.join(gone, "text_key", "left_anti")
+        free_probes = probes.join(gone, "text_key", "left_anti")
+        order = free.select("text_key", "first_id")
+        own = self._candidates(free_probes, free_probes).join(order.select(F.col("text_key").alias("new"), F.col("first_id").alias("id_new")), "new")
+        own = own.join(order.select(F.col("text_key").alias("old"), F.col("first_id").alias("id_old")), "old").where("id_new < id_old").select("new", "old")
+        within = staged(self._verified(own, free, free), "within")
+        out = _rejected_within(within.select(F.col("new").alias("a"), F.col("old").alias("b")))
+        late = (out if out is not None else within.select(F.col("new").alias("k")).limit(0)).select(F.col("k").alias("text_key"), F.lit(True).alias("late")).distinct()
+        status = fresh.select("text_key", "first_id").join(gone, "text_key", "left").join(late, "text_key", "left")
+        status = status.select("text_key", "first_id", (F.col("known").isNull() & F.col("late").isNull()).cast("int").alias("accepted"), F.coalesce("known", F.lit(False)).alias("known"))
+        status = staged(status, "status")
+        # what is newly accepted meets the rejected texts, of the store and of this batch
+        accepted = status.where("accepted = 1").select("text_key")
+        with_old = self._looked_up(positive.join(accepted, "text_key", "left_semi"), fresh, False)
+        with_new = self._verified(self._candidates(probes.join(accepted, "text_key", "left_semi"), probes.join(gone, "text_key", "left_semi")), fresh, fresh)
+        ins = [status.select(F.col("text_key").alias(c), F.col("accepted").alias(f"{c}_in")) for c in ("new", "old")]
+        mixed = within.join(ins[0], "new").join(ins[1], "old").where("new_in <> old_in")
+        mixed = mixed.select(F.when(F.col("new_in") == 1, F.col("old")).otherwise(F.col("new")).alias("rejected"), F.when(F.col("new_in") == 1, F.col("new")).otherwise(F.col("old")).alias("accepted"), "likeness")
+        late_pairs = with_old.unionByName(with_new).select(F.col("old").alias("rejected"), F.col("new").alias("accepted"), "likeness")
+        alike = by_history.where("new <> old").select(F.col("new").alias("rejected"), F.col("old").alias("accepted"), "likeness").unionByName(mixed).unionByName(late_pairs)
+        return status, alike.select(F.col("rejected").alias("text_key"), F.col("accepted").alias("other_key"), "likeness")
+
+    def merge_filters(self) -> None:
+        """Make one filter of those of all batches, from the stored fingerprints; after many small batches."""
+        old, tag = list(self.batches), f"{len(self.batches):06d}-{uuid.uuid4().hex[:8]}"
+        self._write(tag, bloom=self.filters(self._rows("print", "print").distinct()))
+        for batch in old:
+            path, fs = self._path(f"store/batch={batch}/kind=bloom")
+            fs.delete(path, True)
+
+    def pairs(self) -> DataFrame:
+        """(rejected, accepted, likeness): every rejected document with each accepted one it is alike to."""
+        docs = self.documents().where("text_key is not null")
+        no = docs.where("not accepted").select(F.col("id").alias("rejected"), F.col("text_key").alias("key_no"))
+        yes = docs.where("accepted").select(F.col("id").alias("accepted"), F.col("text_key").alias("key_yes"))
+        links = self._rows("pair", F.col("text_key").alias("key_no"), F.col("other_key").alias("key_yes"), "likeness").distinct()
+        same = no.join(yes, F.col("key_no") == F.col("key_yes")).select("rejected", "accepted", F.lit(1.0).alias("likeness"))
+        return no.join(links, "key_no").join(yes, "key_yes").select("rejected", "accepted", "likeness").unionByName(same)
 
 
 def _rejected_within(edges: DataFrame) -> DataFrame | None:
@@ -161,68 +334,20 @@ def _rejected_within(edges: DataFrame) -> DataFrame | None:
     return rejected
 
 
-def check_batches(
-    docs: DataFrame, id_col: str = "id", text_col: str = "content", batch_col: str = "batch_no", least: float = 0.5, coverage: float = 0.05
-) -> DataFrame:
-    """(new, old, likeness, new_accepted, old_accepted): every pair with a likeness of `least` or more
-    that has a document of a new batch, and how both were decided.
+def check_batches(docs: DataFrame, id_col: str = "id", text_col: str = "content", batch_col: str = "batch_no", least: float = 0.5, root: str | None = None) -> DataFrame:
+    """(rejected, accepted, likeness): every rejected document with each accepted one whose likeness is `least` or more.
 
-    The lowest batch is the accepted history. A later document is rejected if it is alike to one
-    accepted in an earlier batch, or before it (by id) in its own; else it is accepted. The store
-    keeps rejected documents too, marked, so that later documents alike to them come out as well.
-    Each id must come once. Null texts and those of fewer than 20 words are alike to none. A null
-    batch is left out. `coverage` is the share of a document's fingerprints that a candidate must
-    share before the sets are compared.
+    The lowest batch is the accepted history, if the store at `root` (by default a new one in the
+    scratch folder) has none yet. A later document is rejected if it is alike to one accepted in an
+    earlier batch, or before it (by id) in its own; else it is accepted. Rejected documents are kept
+    too, as later accepted ones may be alike to them. Each id must come once. Null texts and those of
+    fewer than 20 words are alike to none. Rows without an id or a batch are left out.
     """
     spark = docs.sparkSession
-    rows = docs.select(id_col, text_col, batch_col).where(F.col(batch_col).isNotNull())
-    id_type = rows.schema[id_col].dataType
-    numbers = [r[0] for r in rows.select(batch_col).distinct().orderBy(batch_col).collect()]
-    empty = T.StructType([T.StructField(c, id_type) for c in ("new", "old")]).add("likeness", "double").add("new_accepted", "boolean").add("old_accepted", "boolean")
-    if not numbers:
-        return spark.createDataFrame([], empty)
-    root = scratch_path(spark, "history")
-    store: History | None = None
-    for i, number in enumerate(numbers):
-        folder = f"{root}/documents/{i:06d}"
-        fingerprints(rows.where(F.col(batch_col) == number), id_col, text_col).write.parquet(folder)
-        if store is None:
-            first = spark.read.parquet(folder)
-            store = History(spark, first.schema, 3 * (first.agg(F.sum(F.size("prints"))).first()[0] or 0), root)
-            first.select("key", F.lit(True).alias("accepted")).write.parquet(f"{root}/decided/{i:06d}")
-            store.fill(first)
-            continue
-        new = spark.read.schema(store.schema).parquet(folder)
-        prints = new.select("key", F.size("prints").alias("n_prints"), F.explode("prints").alias("print"))
-        positive = staged(store.positives(prints), "positive")
-        known = store.documents(i).select(F.col("key").alias("old"), F.explode("prints").alias("print"))
-        hits = known.join(F.broadcast(positive) if positive.count() <= BROADCAST_PRINTS else positive, "print")
-        mine = prints.join(prints.select("print", F.col("key").alias("old")), "print").where("key < old")
-        candidates = (
-            hits.select("key", "old", "n_prints")
-            .unionByName(mine.select("key", "old", "n_prints"))
-            .groupBy("key", "old")
-            .agg(F.count("*").alias("shared_prints"), F.first("n_prints").alias("n_prints"))
-            .where(F.col("shared_prints") >= F.col("n_prints") * coverage)
-            .select(F.col("key").alias("new"), "old")
-        )
-        both = candidates.join(new.select(F.col("key").alias("new"), F.col("n_grams").alias("new_n"), F.col("grams").alias("new_grams")), "new")
-        both = both.join(store.documents(i + 1).select(F.col("key").alias("old"), F.col("n_grams").alias("old_n"), F.col("grams").alias("old_grams")), "old")
-        likeness = F.col("shared") / (F.col("new_n") + F.col("old_n") - F.col("shared"))
-        alike = shared_grams(both, "new_grams", "old_grams").select("new", "old", likeness.alias("likeness")).where(F.col("likeness") >= least)
-        alike.write.parquet(f"{root}/alike/{i:06d}")
-        found = spark.read.schema(alike.schema).parquet(f"{root}/alike/{i:06d}").join(store.decisions(id_type).withColumnRenamed("key", "old"), "old", "left")
-        by_history = found.where("accepted").select(F.col("new").alias("k")).distinct()
-        within = found.where("accepted is null")
-        free = within.join(by_history, within["new"] == by_history["k"], "left_anti").join(by_history, F.col("old") == by_history["k"], "left_anti")
-        by_order = _rejected_within(free.select(F.col("new").alias("a"), F.col("old").alias("b")))
-        rejected = by_history if by_order is None else by_history.unionByName(by_order).distinct()
-        decided = new.select("key").join(rejected.select(F.col("k").alias("key"), F.lit(True).alias("no")), "key", "left").select("key", F.col("no").isNull().alias("accepted"))
-        decided.write.parquet(f"{root}/decided/{i:06d}")
-        store.fill(new)
-    if len(numbers) == 1:
-        return spark.createDataFrame([], empty)
-    pairs = spark.read.schema(alike.schema).parquet(f"{root}/alike/*")
-    for side in ("new", "old"):
-        pairs = pairs.join(store.decisions(id_type).select(F.col("key").alias(side), F.col("accepted").alias(f"{side}_accepted")), side)
-    return pairs.select(*empty.names)
+    rows = docs.select(id_col, text_col, batch_col).where(F.col(batch_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = staged(rows, "batches", [batch_col])
+    numbers = [r[0] for r in rows.select(batch_col).distinct().orderBy(batch_col).collect()]  # one row per batch
+    store = History(spark, root or scratch_path(spark, "history"), least)
+    for number in numbers:
+        store.add(rows.where(F.col(batch_col) == number), id_col, text_col)
+    return store.pairs()

@@ -28,15 +28,15 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_checked(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of new batches and those alike to them, with what was decided of both."""
+    """Rejected documents of new batches with every accepted one they repeat, and the likeness."""
     docs = table(spark, d, "source_documents").where("id is not null").groupBy("id").agg(F.min("batch_no").alias("batch_no"), F.max("content").alias("content"))
     return history.check_batches(docs)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a rejected and an accepted document, smaller id first."""
-    pairs = p2_checked(spark, d).where("new_accepted <> old_accepted")
-    return pairs.select(F.least("new", "old").alias("doc_id_a"), F.greatest("new", "old").alias("doc_id_b")).distinct()
+    pairs = p2_checked(spark, d)
+    return pairs.select(F.least("rejected", "accepted").alias("doc_id_a"), F.greatest("rejected", "accepted").alias("doc_id_b")).distinct()
 
 
 def vector_items(spark: SparkSession, d: str) -> DataFrame:

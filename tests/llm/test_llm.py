@@ -169,26 +169,55 @@ def test_p1_takes_odd_tables(spark):
 # p2
 
 
+def truth_of_batches(rows: list[tuple[str, str, int]]) -> set[tuple[str, str]]:
+    texts, accepted, rejected = {i: t for i, t, _ in rows}, set(), set()
+    for i, t, b in sorted(rows, key=lambda r: (r[2], r[0])):
+        (accepted if b == 0 or not any(likeness(t, texts[j]) >= 0.5 for j in accepted) else rejected).add(i)
+    return {(i, j) for i in rejected for j in accepted if likeness(texts[i], texts[j]) >= 0.5}
+
+
 def test_p2_equals_brute_force(spark):
-    docs = collection(72)
     rng = random.Random(3)
-    rows = [(i, t, rng.randrange(0, 4)) for i, t in docs.items()]
+    rows = [(i, t, rng.randrange(0, 4)) for i, t in collection(72).items()]
+    for k in range(20):  # short texts with a word replaced or put in at every seventh to tenth place
+        words = text(rng.randrange(20, 41)).split()
+        other, step = list(words), 7 + k % 4
+        for at in range(len(words) - step // 2, 0, -step):
+            other[at : at + k % 2] = [f"new{at}"]
+        rows += [(f"s{k:02d}", " ".join(words), 0), (f"t{k:02d}", " ".join(other), 1 + k % 3)]
+    truth = truth_of_batches(rows)
+    assert sum(i.startswith("t") for i, _ in truth) > 5
     df = spark.createDataFrame(rows, "id string, content string, batch_no int")
-    accepted, truth = set(), set()
-    for i, t, b in sorted(rows, key=lambda r: (r[2], r[0])):
-        if b == 0 or not any(likeness(t, docs[j]) >= 0.5 for j in accepted):
-            accepted.add(i)
-    for i, t in docs.items():
-        for j in accepted - {i}:
-            if i not in accepted and likeness(t, docs[j]) >= 0.5:
-                truth.add((i, j))
-    got = {(r["new"], r["old"]) if r["old_accepted"] else (r["old"], r["new"]) for r in history.check_batches(df).where("new_accepted <> old_accepted").collect()}
-    assert got == truth and truth
+    assert {(r["rejected"], r["accepted"]) for r in history.check_batches(df).collect()} == truth
+
+
+def test_p2_goes_on_with_an_old_store_and_reads_only_buckets_it_needs(spark, tmp_path):
+    rows = [(i, t, k % 3) for k, (i, t) in enumerate(collection(60).items())]
+    df = spark.createDataFrame(rows, "id string, content string, batch_no int")
+    root = f"file://{tmp_path}/store"
+    for batch in (0, 1, 2):  # a new object each time, as in sessions of different days
+        store = history.History(spark, root, bucket_prints=15, sketch_bits=12)
+        store.add(df.where(F.col("batch_no") == batch))
+    assert store.buckets > 4 and len(history.History(spark, root).batches) == 3
+    assert {(r["rejected"], r["accepted"]) for r in store.pairs().collect()} == truth_of_batches(rows)
+    store.merge_filters()
+    # a batch that repeats one text needs the buckets of that text's fingerprints only
+    one = spark.createDataFrame([("z", rows[0][1], 3)], "id string, content string, batch_no int")
+    fresh = store.fingerprints(one.select(F.lit(b"k").alias("text_key"), F.lit("z").alias("first_id"), F.col("content").alias("text")))
+    prints = fresh.select(F.explode("prints").alias("print"))
+    needed = set(store._buckets_of(prints, "print"))
+    for folder in (tmp_path / "store" / "store").glob("*/kind=print/*/bucket=*"):
+        if int(folder.name.split("=")[1]) not in needed:
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not to be read")
+    history.History(spark, root).add(one)
+    assert any(r["rejected"] == "z" for r in history.History(spark, root).pairs().collect())
 
 
 def test_p2_takes_odd_tables(spark):
     df = odd(spark, "id", "content").dropDuplicates(["id"]).withColumn("batch_no", F.when(F.col("id") == "d", None).otherwise(F.length("id") % 2))
-    assert history.check_batches(df.withColumn("batch_no", F.when(F.col("id") == "f", 2).otherwise(F.col("batch_no")))).where("new_accepted <> old_accepted").count() == 1
+    found = history.check_batches(df.withColumn("batch_no", F.when(F.col("id") == "f", 2).otherwise(F.col("batch_no"))))
+    assert [(r["rejected"], r["accepted"]) for r in found.collect()] == [("f", "e")]
     assert history.check_batches(df.limit(0)).count() == 0
 
 
