@@ -2,6 +2,9 @@
 
 import zipfile
 
+import pytest
+
+from docweave import session
 from docweave.sources import files
 from docweave.streaming import streams
 
@@ -50,3 +53,11 @@ def test_session_and_hour_windows(spark, tmp_path, small):
         streams.run_available(counted, out, str(tmp_path / f"cp{n}"))
         total = spark.read.parquet(out).agg({"n": "sum"}).first()[0]
         assert 0 < total <= events.count()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            session.check_one_machine(master)
+    for master in ("local", "local[4]", "local[*]"):
+        session.check_one_machine(master)
