@@ -7,6 +7,8 @@ Those that pack greedily, where each cut depends on the last, run per document i
 from __future__ import annotations
 
 import ast
+import csv
+import io
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -17,13 +19,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:
+    import yaml
+except ImportError:  # only YAML files need it
+    yaml = None
+
 from docweave.functions.text import is_numeric_piece, is_table_row, token_count
+from docweave.session import staged
 
 Span = tuple[str, int, int]
 
 #: Suffix -> strategy; others get `semantic`.
 STRATEGIES = {
-    ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".csv": "row_group", ".json": "json", ".yaml": "json", ".yml": "json",
+    ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".csv": "row_group", ".json": "json", ".yaml": "yaml", ".yml": "yaml",
     ".ipynb": "notebook", ".py": "code", ".js": "code", ".ts": "code", ".java": "code", ".cs": "code", ".cpp": "code", ".c": "code", ".go": "code", ".rs": "code",
 }
 
@@ -199,8 +207,32 @@ def html(text: str, limit: int = 500) -> list[Span]:
     return packed(["".join(parts) for _, parts in parser.texts if parts], "\n\n", limit, tokens)
 
 
+_DECLARATION = re.compile(r"^[ \t]*(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|pub|unsafe|extern|inline|virtual|template\s*<[^>]*>)\s+)*(?:(?:class|interface|struct|enum|trait|impl|namespace|func|fn|function)\b[^{};]*|[\w<>\[\],:*&.\s]+\([^;{}]*\)[^;{}]*|(?:const|let|var)\s+\w+\s*=[^;{}]*)$")
+
+
+def braced(text: str) -> list[tuple[int, int]]:
+    """Places of the outermost classes and functions of a language with braces."""
+    out, depth, begun, from_ = [], 0, None, 0
+    for m in re.finditer(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{};]", text, re.S):
+        sign = m.group()
+        if sign == "{":
+            if depth == 0:
+                head = text[from_ : m.start()]
+                begun = from_ + len(head) - len(head.lstrip()) if head.strip() and _DECLARATION.match(head.strip()) else None
+            depth += 1
+        elif sign == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                if begun is not None:
+                    out.append((begun, m.end()))
+                from_ = m.end()
+        elif depth == 0 and (sign == ";" or sign[:2] in ("//", "/*")):
+            from_ = m.end()
+    return out
+
+
 def code(text: str, suffix: str = ".py", limit: int = 500) -> list[Span]:
-    """Top-level functions and classes of Python; brace-bodied functions of others; fixed-size chunks where there are none."""
+    """Top-level functions and classes of Python, outermost ones of languages with braces; fixed-size chunks where there are none."""
     out: list[Span] = []
     text = text or ""
     if suffix == ".py":
@@ -210,14 +242,13 @@ def code(text: str, suffix: str = ".py", limit: int = 500) -> list[Span]:
             for line in lines:
                 starts.append(starts[-1] + len(line) + 1)
             for node in ast.parse(text).body:
-                if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
+                if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                     a, b = starts[node.lineno - 1], starts[node.end_lineno] - 1
                     out.append((text[a:b], a, b))
         except (SyntaxError, ValueError, MemoryError, RecursionError):  # also too deep to parse
             out = []
     else:
-        for m in re.finditer(r"(?:[\w<>\[\]]+\s+)+\w+\s*\([^)]*\)\s*\{[^}]*\}", text):
-            out.append((m.group(), *m.span()))
+        out = [(text[a:b], a, b) for a, b in braced(text)]
     return out or fixed(text, limit)
 
 
@@ -230,15 +261,64 @@ def key_paths(value: object, path: str = "") -> list[tuple[str, str]]:
     return [(path, str(value))]
 
 
+def _by_key(value: object) -> list[Span]:
+    parts = value.items() if isinstance(value, dict) else [(f"[{i}]", v) for i, v in enumerate(value)] if isinstance(value, list) else []
+    found = ["\n".join(f"{p}: {v}" for p, v in key_paths(part, str(key))) for key, part in parts]
+    return packed(found, "\n\n", 0, lambda _: 1)
+
+
 def json_keys(text: str) -> list[Span]:
     """One chunk per top-level key or item, with the paths of its leaves; none for bare values and broken JSON."""
     try:
-        value = json.loads(text or "")
-    except ValueError:
+        return _by_key(json.loads(text or ""))
+    except (ValueError, RecursionError):
         return []
-    parts = value.items() if isinstance(value, dict) else [(f"[{i}]", v) for i, v in enumerate(value)] if isinstance(value, list) else []
-    found = ["\n".join(f"{p}: {v}" for p, v in key_paths(part, str(key))) for key, part in parts]
-    return packed(found, "\n\n", 0, lambda _: 1)
+
+
+def yaml_keys(text: str) -> list[Span]:
+    """The same of YAML; fixed-size chunks for bare values, broken YAML, and where no YAML reader is installed."""
+    try:
+        return (_by_key(yaml.safe_load(text or "")) if yaml else []) or fixed(text)
+    except (yaml.YAMLError, ValueError, RecursionError):
+        return fixed(text)
+
+
+def markdown(text: str, limit: int = 500) -> list[Span]:
+    """Header sections; those over the limit are packed by paragraphs."""
+    heads = [m.start() for m in re.finditer(r"^#{1,6}[ \t]+[^ \t\r\n]", text or "", re.M)]
+    out: list[Span] = []
+    for a, b in zip([0, *heads], [*heads, len(text or "")]):
+        out += [(t, a + x, a + y) for t, x, y in packed(text[a:b].split("\n\n"), "\n\n", limit, tokens) if t.strip()] if a < b else []
+    return out
+
+
+def delimiter_of(line: str) -> str:
+    """The first of tab, bar, semicolon and comma that is there twice; else a comma."""
+    return next((d for d in "\t|;," if line.count(d) >= 2), ",")
+
+
+def text_columns(columns: list[str]) -> tuple[str | None, str | None]:
+    """The question and the answer column of a table, by their names."""
+    ask = next((c for c in columns if re.search(r"question|query|prompt", c, re.I)), None)
+    say = next((c for c in columns if re.search(r"answer|response|reply", c, re.I)), None)
+    return ask, say
+
+
+def csv_rows(text: str, size: int = 50, most_value: int = 2000) -> list[Span]:
+    """One chunk per row of a table of questions and answers, else groups of `size` rows as `column: value`.
+
+    Rows with another number of cells are left out; long values end with an ellipsis.
+    """
+    rows = list(csv.reader(io.StringIO(text or ""), delimiter=delimiter_of((text or "").split("\n", 1)[0])))
+    if len(rows) < 2:
+        return []
+    names, body = rows[0], [r for r in rows[1:] if len(r) == len(rows[0])]
+    ask, say = text_columns(names)
+    if ask and say:
+        a, b = names.index(ask), names.index(say)
+        return packed([f"Question: {r[a]}\nAnswer: {r[b]}" for r in body if r[a].strip() and r[b].strip()], "\n\n", 0, lambda _: 1)
+    said = [" | ".join(f"{n}: {v if len(v) <= most_value else v[:most_value] + '...'}" for n, v in zip(names, r) if v.strip()) for r in body]
+    return packed(["\n".join(said[i : i + size]) for i in range(0, len(said), size)], "\n\n", 0, lambda _: 1)
 
 
 def notebook(text: str, limit: int = 500) -> list[Span]:
@@ -259,7 +339,8 @@ def notebook(text: str, limit: int = 500) -> list[Span]:
 
 
 CHUNKERS: dict[str, Callable[[str], list[Span]]] = {
-    "fixed": fixed, "sliding": sliding, "paragraph": paragraphs, "semantic": semantic, "html": html, "code": code, "json": json_keys, "notebook": notebook,
+    "fixed": fixed, "sliding": sliding, "paragraph": paragraphs, "semantic": semantic, "html": html, "code": code, "json": json_keys, "yaml": yaml_keys,
+    "notebook": notebook, "markdown": markdown, "row_group": csv_rows,
 }
 
 
@@ -270,21 +351,32 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, strategy: str, least_cha
     chunk_index. Null and empty texts have none. A repeated id gives its chunks again. Other
     columns are not looked at.
     """
-    cut = CHUNKERS[strategy]
+    return _cut(docs, id_col, text_col, F.lit(strategy), F.lit(".py"), least_chars, options)
+
+
+def routed_chunks(docs: DataFrame, id_col: str, text_col: str, name_col: str, least_chars: int = 50) -> DataFrame:
+    """The same, each document by the strategy of its file name."""
+    return _cut(docs, id_col, text_col, strategy_of(F.col(name_col)), F.lower(F.regexp_extract(name_col, r"(\.[^.]*)$", 1)), least_chars, {})
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, strategy: F.Column, suffix: F.Column, least_chars: int, options: dict) -> DataFrame:
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
+    names = ["id", "strategy", "chunk_index", "text", "start_char", "end_char"]
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(n, T.StringType() if n in ("strategy", "text") else T.IntegerType()) for n in names[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, n, *span) for i, text in enumerate(batch.column(1).to_pylist()) for n, span in enumerate(cut(text or "", **options))]
-            rows = [r for r in rows if len(r[2].strip()) >= least_chars]
+            rows = []
+            for i, (text, how, ending) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                cut = CHUNKERS[how](text or "", ending, **options) if how == "code" else CHUNKERS[how](text or "", **options)
+                rows += [(i, how, n, *span) for n, span in enumerate(cut) if len(span[0].strip()) >= least_chars]
             column = lambda j, kind: pa.array([r[j] for r in rows], kind)
             ids = batch.column(0).take(column(0, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, column(1, pa.int32()), column(2, pa.string()), column(3, pa.int32()), column(4, pa.int32())], [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([ids, column(1, pa.string()), column(2, pa.int32()), column(3, pa.string()), column(4, pa.int32()), column(5, pa.int32())], names)
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), strategy.alias("strategy"), suffix.alias("suffix")).mapInArrow(run, schema)
     name = F.concat(F.col("id").cast("string"), F.lit("_chunk_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0"))
-    return found.select(F.col("id").alias(id_col), name.alias("chunk_id"), "chunk_index", "text", "start_char", "end_char", token_count("text").alias("token_count"), F.lit(strategy).alias("strategy"))
+    return found.select(F.col("id").alias(id_col), name.alias("chunk_id"), "chunk_index", "text", "start_char", "end_char", token_count("text").alias("token_count"), "strategy")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -317,18 +409,37 @@ def rendered_rows(rows: DataFrame, columns: list[str]) -> F.Column:
     return F.concat_ws(" | ", *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns))
 
 
+def numbered_within(rows: DataFrame, order: str, within: str, parts: int | None = None) -> DataFrame:
+    """Adds `place`, from 0: a row's number in its key by `order`, whatever the keys' sizes.
+
+    Rows are sorted by key and order in ranges, so a hot key spreads over many tasks; a row's number
+    is its number in its range and the rows of its key in the ranges before, which are counted first.
+    """
+    ranged = rows.repartitionByRange(*([parts] if parts else []), within, order).withColumn("__range", F.spark_partition_id())
+    ranged = staged(ranged, "ranges")
+    before = Window.partitionBy(within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(within, "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    here = F.row_number().over(Window.partitionBy(within, "__range").orderBy(order)) - 1
+    key = F.col(within).eqNullSafe(F.col("__key"))
+    counts = counts.withColumnsRenamed({within: "__key", "__range": "__its"})
+    return ranged.withColumn("__here", here).join(counts, key & (F.col("__range") == F.col("__its"))).withColumn("place", F.col("__here") + F.col("__before")).drop("__range", "__its", "__key", "__here", "__before")
+
+
 def row_groups(rows: DataFrame, order: str, columns: list[str], size: int = 50, within: str | None = None, most_chars: int = 25000) -> DataFrame:
-    """(within, group_no, n_rows, text): rendered rows in groups of `size`, by `order`; figure-only groups are left out.
+    """(within, group_no, part_no, n_rows, text): rendered rows in groups of `size`, by `order`; figure-only groups are left out.
 
     `within` names the file or key whose rows are numbered together; without it `order` must be a
-    dense number from 0, and gives the group.
+    dense number from 0, and gives the group. A group longer than `most_chars` is parted at rows; no
+    row is left out or cut.
     """
     keys = [within] if within else []
-    place = F.row_number().over(Window.partitionBy(within).orderBy(order)) - 1 if within else F.col(order)
-    numbered = rows.withColumn("group_no", F.floor(place / size).cast("int")).withColumn("rendered", rendered_rows(rows, columns))
-    parts = numbered.groupBy(*keys, "group_no").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "rendered"))).alias("parts"))
-    text = F.substring(F.array_join(F.transform("parts", lambda p: p["rendered"]), "\n"), 1, most_chars)
-    return parts.select(*keys, "group_no", F.size("parts").alias("n_rows"), text.alias("text")).where(~is_numeric_piece("text") & (F.length("text") > 20))
+    placed = numbered_within(rows, order, within) if within else rows.withColumn("place", F.col(order))
+    numbered = placed.withColumn("group_no", F.floor(F.col("place") / size).cast("int")).withColumn("rendered", rendered_rows(rows, columns))
+    upto = Window.partitionBy(*keys, "group_no").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum(F.length("rendered") + 1).over(upto), F.lit(0)) / most_chars).cast("int")
+    parts = numbered.withColumn("part_no", part).groupBy(*keys, "group_no", "part_no").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "rendered"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["rendered"]), "\n")
+    return parts.select(*keys, "group_no", "part_no", F.size("parts").alias("n_rows"), text.alias("text")).where(~is_numeric_piece("text") & (F.length("text") > 20))
 
 
 def strategy_of(name: F.Column) -> F.Column:

@@ -167,15 +167,6 @@ FILE_STRATEGIES = (
 )
 
 
-def _chunked(strategy: str):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        docs = table(spark, d, "source_documents").where("content is not null").select("id", "content").dropDuplicates(["id"])
-        return chunking.chunks(docs, "id", "content", strategy)
-
-    query.__doc__ = f"Chunks of every source document by the {strategy} strategy."
-    return query
-
-
 def chunk_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Per strategy: chunks, wrong character counts, mean estimated tokens; each chunk once."""
     once = table(spark, d, "chunks").groupBy("chunk_id").agg(*(F.max(c).alias(c) for c in ("strategy", "text", "char_count")))
@@ -228,5 +219,4 @@ QUERIES = {
     "chunk_statistics": (chunk_statistics, CHUNK_STATISTICS),
     "missing_from_index": (missing_from_index, MISSING_FROM_INDEX),
     "document_statistics": (document_statistics, DOCUMENT_STATISTICS),
-    **{f"chunks_{s}": (_chunked(s), None) for s in ("fixed", "sliding", "paragraph", "semantic")},
 }

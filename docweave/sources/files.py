@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import file_hash
+from docweave.operators.chunking import delimiter_of, text_columns  # noqa: F401
+from docweave.session import staged
 
 #: Suffixes that are loaded.
 TEXT_SUFFIXES = ["txt", "md", "markdown", "html", "htm", "csv", "tsv", "json", "yaml", "yml", "py", "js", "ts", "java", "cs", "cpp", "c", "go", "rs", "ipynb", "xml", "log", "rst"]
@@ -42,9 +43,15 @@ def load_documents(spark: SparkSession, folder: str, recursive: bool = True, mos
     """(id, path, name, file_type, file_size, hash, status, content): every file once per content.
 
     Blank files, files over `most_bytes` and files that can't be read have a status that says so
-    and no content; files of 0 bytes are not listed, as Spark plans no task for them. Of files with equal hashes the first path is loaded, others are `duplicate`.
+    and no content; files of 0 bytes are not listed, as Spark plans no task for them. Of files with equal
+    hashes the first path is decoded, others are `duplicate`; files that are too large have no hash.
     """
-    files = discovered(spark, folder, recursive).withColumn("hash", file_hash("content"))
+    files = discovered(spark, folder, recursive)
+    small = F.col("length") <= most_bytes
+    # sizes alone say what is too large; hashes and paths alone, which files are copies; only the others are decoded
+    hashed = staged(files.where(small).select("path", file_hash("content").alias("hash")), "hashes")
+    first = hashed.groupBy("hash").agg(F.min("path").alias("path"))
+    fresh = files.where(small).join(first, "path")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -53,8 +60,6 @@ def load_documents(spark: SparkSession, folder: str, recursive: bool = True, mos
                 text, state = None, "loaded"
                 if length == 0:
                     state = "empty"
-                elif length > most_bytes:
-                    state = "too_large"
                 else:
                     try:
                         text = docx_text(content) if suffix == "docx" else bytes(content).decode("utf-8", errors="replace")
@@ -65,19 +70,14 @@ def load_documents(spark: SparkSession, folder: str, recursive: bool = True, mos
                 states.append(state)
             yield pd.DataFrame({"path": batch["path"], "name": batch["name"], "file_type": batch["suffix"], "file_size": batch["length"], "hash": batch["hash"], "status": states, "content": texts})
 
-    found = files.mapInPandas(read, "path string, name string, file_type string, file_size long, hash string, status string, content string")
-    keep = found.groupBy("hash").agg(F.min("path").alias("first_path"))
-    marked = found.join(keep, "hash")
-    copy = (F.col("status") == "loaded") & (F.col("path") != F.col("first_path"))
+    columns = "path string, name string, file_type string, file_size long, hash string, status string, content string"
+    found = fresh.mapInPandas(read, columns)
+    none = F.lit(None).cast("string")
+    of = [F.col("path"), F.col("name"), F.col("suffix").alias("file_type"), F.col("length").alias("file_size")]
+    copies = files.where(small).drop("content").join(hashed.join(first, ["path", "hash"], "left_anti"), "path").select(*of, "hash", F.lit("duplicate").alias("status"), none.alias("content"))
+    large = files.where(~small).select(*of, none.alias("hash"), F.lit("too_large").alias("status"), none.alias("content"))
     name = F.concat(F.lit("doc_"), F.substring(F.sha1(F.concat_ws("::", "path", "hash")), 1, 16))
-    return marked.select(
-        name.alias("id"), "path", "name", "file_type", "file_size", "hash", F.when(copy, "duplicate").otherwise(F.col("status")).alias("status"), F.when(~copy, F.col("content")).alias("content")
-    )
-
-
-def delimiter_of(line: str) -> str:
-    """The first of tab, bar, semicolon and comma that is there twice; else a comma."""
-    return next((d for d in "\t|;," if line.count(d) >= 2), ",")
+    return found.unionByName(copies).unionByName(large).select(name.alias("id"), "path", "name", "file_type", "file_size", "hash", "status", "content")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -85,10 +85,3 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.text(path).limit(1).collect()
     sep = delimiter_of(head[0][0]) if head else ","
     return spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", multiLine=False)
-
-
-def text_columns(columns: list[str]) -> tuple[str | None, str | None]:
-    """The question and the answer column of a table, by their names."""
-    ask = next((c for c in columns if re.search(r"question|query|prompt", c, re.I)), None)
-    say = next((c for c in columns if re.search(r"answer|response|reply", c, re.I)), None)
-    return ask, say
