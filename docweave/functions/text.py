@@ -43,15 +43,13 @@ def sentences(text: Column | str) -> Column:
 def index_tokens(text: Column | str) -> Column:
     """Lower-cased words of two or more characters without stop words, repeats kept; empty for null."""
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+")
-    stop = F.array(*(F.lit(w) for w in INDEX_STOPWORDS))
-    return F.filter(parts, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(INDEX_STOPWORDS))
 
 
 def keyword_tokens(text: Column | str) -> Column:
     """Runs of three or more Latin letters, lower-cased, without stop words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"([a-z]{3,})"), 1)
-    stop = F.array(*(F.lit(w) for w in KEYWORD_STOPWORDS))
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: ~t.isin(KEYWORD_STOPWORDS))
 
 
 def normal_query(query: Column | str) -> Column:
@@ -112,3 +110,45 @@ def resolved_score(**scores: Column | str) -> Column:
     named = [col(scores[n]) for n in ("similarity", "score", "reranker", "rrf") if n in scores]
     d = col(scores["distance"]) if "distance" in scores else F.lit(None).cast("double")
     return F.coalesce(*named, F.when(d.between(0, 1), 1 - d), F.lit(0.0))
+
+
+def query_error(query: Column | str, least: int = 3, most: int = 5000) -> Column:
+    """Why a query is refused: `empty`, `too_short`, `too_long`; null if it isn't."""
+    n = F.length(F.trim(F.coalesce(col(query), F.lit(""))))
+    return F.when(n == 0, "empty").when(n < least, "too_short").when(n > most, "too_long")
+
+
+def shortened(text: Column | str, most: int, mark: str = "...") -> Column:
+    """A text of more than `most` characters cut there, with a mark; for display and prompts, never for stored texts."""
+    c = col(text)
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
+
+
+def question_lines(answer: Column | str, most: int) -> Column:
+    """Lines that end with a question mark, without bullets and numbers before them; the first `most`."""
+    bare = F.transform(F.split(col(answer), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[ \t]*([-*•]|[0-9]+[.)])?[ \t]*", ""), r"[ \t\r]+$", ""))
+    return F.slice(F.filter(bare, lambda x: x.endswith("?")), 1, most)
+
+
+def summary_parts(answer: Column | str, n: int) -> Column:
+    """An answer parted at lines of three dashes, trimmed, as exactly `n` parts: missing ones empty, others left out."""
+    parts = F.transform(F.split(col(answer), r"---"), lambda x: F.regexp_replace(x, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    return F.slice(F.concat(parts, F.array_repeat(F.lit(""), n)), 1, n)
+
+
+def session_hash(content: Column | str, end: int = 8192) -> Column:
+    """16 hex digits of the SHA-256 of a binary column's size and its two ends."""
+    c, n = col(content), F.length(col(content))
+    return F.substring(F.sha2(F.concat(n.cast("string").cast("binary"), F.substring(c, 1, end), F.when(n > end, F.substring(c, -end, end)).otherwise(F.lit(b""))), 256), 1, 16)
+
+
+def verdict(answer: Column | str) -> Column:
+    """(relevance, faithfulness, completeness) of a model's JSON answer, within 0..1; 0.5 where missing or broken."""
+    parsed = F.from_json(without_fence(answer), "relevance double, faithfulness double, completeness double")
+    part = lambda n: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(parsed[n], F.lit(0.5)))).alias(n)
+    return F.struct(part("relevance"), part("faithfulness"), part("completeness"))
+
+
+def first_of(*columns: Column | str) -> Column:
+    """The first of some columns that is neither null nor blank."""
+    return F.coalesce(*(F.when(F.trim(col(c)) != "", col(c)) for c in columns))

@@ -47,15 +47,90 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
 HOURLY_EVENTS = "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2"
 
 
-def hourly_events_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same by Structured Streaming, once over what is there, with a watermark."""
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parque[t]"  # a glob, as a stream of one file needs it
-    stream = streams.table_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = streams.windowed_counts(stream, "ts", "event_type", "value", late="1 day")
-    out, checkpoint = scratch_path(spark, "hourly"), scratch_path(spark, "hourly-state")
-    complete = counted.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    complete.awaitTermination()
-    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return streams.table_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _appended(spark: SparkSession, counted: DataFrame, *times: str) -> DataFrame:
+    """What a stream appends over what is there, with its times as in the tables."""
+    out = scratch_path(spark, "appended")
+    streams.run_available(counted, out, scratch_path(spark, "stream-state"))
+    rows = spark.read.schema(counted.schema).parquet(out)
+    return rows.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
+
+
+def hourly_events_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each type per hour by Structured Streaming, once the watermark of a day has passed the hour."""
+    counted = streams.windowed_counts(_event_stream(spark, d), "ts", "event_type", "value", late="1 day")
+    return _appended(spark, counted, "window_start").withColumn("total", F.round("total", 4))
+
+
+HOURLY_EVENTS_STREAM = """
+select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2
+having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 1 day
+"""
+
+
+def sliding_events_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each type in windows of six hours, one beginning every two hours, by Structured Streaming."""
+    counted = streams.windowed_counts(_event_stream(spark, d), "ts", "event_type", "value", "6 hours", "1 day", "2 hours")
+    return _appended(spark, counted, "window_start").withColumn("total", F.round("total", 4))
+
+
+SLIDING_EVENTS_STREAM = """
+with w as (select *, unnest([0, 2, 4]) as back from events),
+s as (select *, time_bucket(interval 2 hours, ts, timestamp '2000-01-01') - to_hours(back) as window_start from w)
+select window_start, event_type, count(*) as n, round(sum(value), 4) as total from s group by 1, 2
+having window_start + interval 6 hours <= (select max(ts) from events) - interval 1 day
+"""
+
+
+def session_events_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of a user's events without a gap of six hours, once the watermark has passed them, by Structured Streaming."""
+    return _appended(spark, streams.session_counts(_event_stream(spark, d), "ts", "user_id", "6 hours", "1 day"), "started", "ended")
+
+
+SESSION_EVENTS_STREAM = """
+with g as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events),
+r as (select *, sum(case when gap >= 21600000000 then 1 else 0 end) over (partition by user_id order by ts, event_id) as run from g)
+select user_id, min(ts) as started, max(ts) + interval 6 hours as ended, count(*) as n from r group by user_id, run
+having max(ts) + interval 6 hours <= (select max(ts) from events) - interval 1 day
+"""
+
+
+def late_events_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly counts where every third event comes after all others: those later than a day are left out.
+
+    A batch is held against the watermark before the last batch's, so the second of three loses none.
+    """
+    source = scratch_path(spark, "late-source")
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (0, 1, 2):
+        events.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
+    counted = streams.windowed_counts(streams.table_stream(spark, source, events.schema, 1), "ts", "event_type", "value", late="1 day")
+    return _appended(spark, counted, "window_start").withColumn("total", F.round("total", 4))
+
+
+LATE_EVENTS_STREAM = """
+with k as (select * from events where event_id % 3 < 2 or date_trunc('hour', ts) + interval 1 hour > (select max(ts) from events where event_id % 3 = 0) - interval 1 day)
+select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from k group by 1, 2
+having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 1 day
+"""
+
+
+def first_seen_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Users by the stream that sees each of them first, over two runs with one checkpoint: number and least id."""
+    source, out, state_at = (scratch_path(spark, n) for n in ("seen-source", "seen", "seen-state"))
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_type")
+    for part in ("user_id % 3 = 0", "true"):  # the second run meets all users of the first again
+        events.where(part).write.mode("append").parquet(source)
+        seen = streams.table_stream(spark, source, events.schema).select("user_id", "event_type").dropDuplicates()
+        streams.run_available(seen, out, state_at)
+    return spark.read.schema("user_id long, event_type string").parquet(out).groupBy("event_type").agg(F.count("*").alias("users"), F.min("user_id").alias("first_user"))
+
+
+FIRST_SEEN_STREAM = "select event_type, count(distinct user_id) as users, min(user_id) as first_user from events group by 1"
 
 
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +258,11 @@ QUERIES = {
     "event_latency": (event_latency, EVENT_LATENCY),
     "event_rates": (event_rates, EVENT_RATES),
     "hourly_events": (hourly_events, HOURLY_EVENTS),
-    "hourly_events_stream": (hourly_events_stream, HOURLY_EVENTS),
+    "hourly_events_stream": (hourly_events_stream, HOURLY_EVENTS_STREAM),
+    "sliding_events_stream": (sliding_events_stream, SLIDING_EVENTS_STREAM),
+    "session_events_stream": (session_events_stream, SESSION_EVENTS_STREAM),
+    "late_events_stream": (late_events_stream, LATE_EVENTS_STREAM),
+    "first_seen_stream": (first_seen_stream, FIRST_SEEN_STREAM),
     "user_sessions": (user_sessions, USER_SESSIONS),
     "event_rate_limit": (event_rate_limit, None),
     "expired_sessions": (expired_sessions, EXPIRED_SESSIONS),

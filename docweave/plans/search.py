@@ -81,11 +81,16 @@ select query_id, vec_id, round(distance, 6) as distance, cast(rank as integer) a
 """
 
 
+def chunk_texts(spark: SparkSession, d: str, *kept: str) -> DataFrame:
+    """(chunk_id, text, *kept), each chunk once."""
+    return table(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(*(F.max(c).alias(c) for c in ("text", *kept)))
+
+
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(fused ranking of chunks, chunk texts) for the asked queries whose number, from the id's first digits, is divisible by 20."""
     asked = state.latest(table(spark, d, "query_results").where("query_id is not null"), ["query_id"], [F.desc_nulls_last("asked_at")])
     asked = asked.where(F.conv(F.substring("query_id", 3, 4), 16, 10).cast("int") % 20 == 0)
-    texts = table(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    texts = chunk_texts(spark, d)
     vectors = table(spark, d, "vector_metadata").select("chunk_id", "embedding_model", "embedding")
     vectors = vectors.join(texts.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     dense = retrieval.nearest(vectors, asked, "chunk_id", "embedding", "query_id", "query_embedding", 30, "l2", F.col("embedding_model"), F.col("embedding_model"))

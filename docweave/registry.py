@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import cutting, logs, search, structures, texts
+from docweave.plans import caches, cutting, indexes, logs, search, structures, texts
 
-ALL = {**texts.QUERIES, **search.QUERIES, **logs.QUERIES, **structures.QUERIES, **cutting.QUERIES}
+ALL = {**texts.QUERIES, **search.QUERIES, **logs.QUERIES, **structures.QUERIES, **cutting.QUERIES, **indexes.QUERIES, **caches.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,9 +12,12 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def windowed_counts(events: DataFrame, at: str, key: str, value: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window_start, key, n, total) over tumbling windows; rows later than the watermark are left out."""
-    counted = events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+def windowed_counts(events: DataFrame, at: str, key: str, value: str, size: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """(window_start, key, n, total) over tumbling windows, or sliding ones; rows later than the watermark are left out.
+
+    In append mode a window comes out once the watermark has passed its end, and its state goes.
+    """
+    counted = events.withWatermark(at, late).groupBy(F.window(at, size, slide or size).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return counted.select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 

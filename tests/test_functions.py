@@ -63,3 +63,15 @@ def test_file_hash(spark):
     got = [r[0] for r in df.select(fx.file_hash(F.col("c"))).collect()]
     assert got[0] == hashlib.md5(b"2ab").hexdigest() and got[1] == hashlib.md5(b"40000" + b"x" * 65536).hexdigest()
     assert not math.isnan(len(got))
+
+
+def test_question_lines_parts_and_checks(spark):
+    df = spark.createDataFrame([("- Why?\n2) How?\nNo.\n* When? ",), (None,), ("",), ("a --- b",)], "t string")
+    got = [tuple(r) for r in df.select(fx.question_lines("t", 2), fx.summary_parts("t", 3), fx.query_error("t"), fx.shortened("t", 3)).collect()]
+    assert got[0][0] == ["Why?", "How?"] and got[1] == (None, None, "empty", None) and got[2][2] == "empty" and got[3][1] == ["a", "b", ""] and got[3][3] == "a -..."
+
+
+def test_verdicts_are_kept_within_bounds(spark):
+    rows = [('```json\n{"relevance": 2, "faithfulness": -1}\n```',), ("no json",), (None,)]
+    got = [tuple(r[0]) for r in spark.createDataFrame(rows, "t string").select(fx.verdict("t")).collect()]
+    assert got == [(1.0, 0.0, 0.5), (0.5, 0.5, 0.5), (0.5, 0.5, 0.5)]

@@ -4,12 +4,13 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docweave.operators import chunking, metrics, planning, retrieval, state
+from docweave.operators import chunking, metrics, planning, retrieval, state, stores, structure
 
 
 @settings(max_examples=60, deadline=None)
@@ -134,7 +135,6 @@ def test_upsert_and_latest(spark):
 
 def test_percentile_by_index(spark):
     df = spark.createDataFrame([(float(i),) for i in range(20)], "v double")
-    assert df.agg(metrics.percentile_by_index("v", 0.95)).first()[0] == 19.0
     assert metrics.latency_summary(df.withColumn("k", F.lit("x")), "k", "v").first()["p95"] == 19.0
 
 
@@ -143,3 +143,57 @@ def test_ranking_quality(spark):
     relevant = spark.createDataFrame([("q", "b"), ("q", "z"), ("p", "a")], "q string, id string")
     got = {r["q"]: (r["hits"], r["recall"], r["reciprocal_rank"]) for r in metrics.ranking_quality(ranked, relevant, "q", "id", 2).collect()}
     assert got == {"q": (1, 0.5, 0.5), "p": (0, 0.0, 0.0)}
+
+
+def test_a_store_of_tables_keeps_the_last_row_and_forgets_deleted_keys(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    stores.TableStore(spark, path, ["k"]).upsert(rows(("a", 1), ("b", 1), (None, 9)))
+    stores.TableStore(spark, path, ["k"]).upsert(rows(("a", 2), ("c", 2)))
+    stores.TableStore(spark, path, ["k"]).delete(rows(("a", 0), ("b", 0)))
+    stores.TableStore(spark, path, ["k"]).upsert(rows(("b", 3)))
+    store = stores.TableStore(spark, path, ["k"])
+    assert sorted(map(tuple, store.load().collect())) == [("b", 3), ("c", 2)]
+    assert sorted(map(tuple, store.compact(path + "2").load().collect())) == [("b", 3), ("c", 2)]
+
+
+def test_the_dispatcher_has_every_strategy_and_loses_no_text(spark):
+    assert set(chunking.STRATEGIES.values()) | {"semantic"} <= set(chunking.CHUNKERS)
+    docs = [
+        ("1", "a: 1\nb:\n  - x\n  - y\n", "n.yaml"), ("2", "question,answer,z\nq1?,a1,0\nq2?,a2,0\n", "n.csv"), ("3", "# A\n\n" + "word " * 900 + "\n\n# B\nend", "n.md"),
+        ("4", "class A { int f() { return 1; } }\nint x;\nvoid g(int a) { if (a) { } }\n", "n.java"), ("5", None, "n.md"), ("6", "{broken", "n.json"), ("7", "", None),
+    ]
+    df = spark.createDataFrame(docs, "id string, t string, name string")
+    got = {}
+    for r in chunking.routed_chunks(df, "id", "t", "name", least_chars=1).orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append((r["strategy"], r["text"]))
+    assert [t for _, t in got["1"]] == ["a: 1", "b[0]: x\nb[1]: y"] and got["2"][0] == ("row_group", "Question: q1?\nAnswer: a1")
+    assert got["3"][-1][1] == "# B\nend" and sum(t.count("word") for _, t in got["3"]) == 900
+    assert [t for _, t in got["4"]] == ["class A { int f() { return 1; } }", "void g(int a) { if (a) { } }"] and not {"5", "6", "7"} & set(got)
+
+
+def test_rows_of_a_hot_key_are_numbered_over_ranges(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 10 else f"k{i % 3}") for i in range(500)] + [(1000, None)], "o int, k string")
+    got = {(r["k"], r["o"]): r["place"] for r in chunking.numbered_within(df, "o", "k", parts=8).collect()}
+    for key in {k for k, _ in got}:
+        assert [got[key, o] for o in sorted(o for k, o in got if k == key)] == list(range(sum(k == key for k, _ in got)))
+
+
+def test_nearest_with_dealt_out_vectors_equals_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "id int, v array<double>")
+    ask = lambda: sorted(map(tuple, retrieval.nearest(v, v.where("id < 20").withColumnsRenamed({"id": "q", "v": "qv"}), "id", "v", "q", "qv", 5, dim=4, block=16).collect()))
+    found = ask()
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    assert ask() == found and len(found) == 100
+
+
+def test_structure_paths_and_spans(spark):
+    t = "intro\n# A\nx\n## B\ny\n# C\n" + "z" * 10
+    lines = structure.lines(spark.createDataFrame([("d", t), ("n", None), ("e", "")], "i string, t string"), "i", "t")
+    heads = structure.headings(lines, F.lit(True))
+    paths = {tuple(r["path"]) for r in structure.heading_paths(heads).collect()}
+    assert paths == {("A",), ("A", "B"), ("C",)}
+    sizes = spark.createDataFrame([("d", len(t)), ("e", 0)], "id string, size long")
+    spans = sorted((r["start"], r["end"], r["title"]) for r in structure.section_spans(heads, sizes).collect())
+    assert spans == [(6, 12, "A"), (12, 19, "B"), (19, len(t), "C")]
