@@ -187,8 +187,8 @@ def last_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 LAST_TURNS = f"""
-with {_LATEST}, s as (select session_id, query_id, len(retrieved_chunks) > 0 as answered, coalesce(asked_at, timestamp '1970-01-01') as at from l where session_id is not null),
-n as (select *, row_number() over (partition by session_id order by at desc, query_id desc) as r, row_number() over (partition by session_id, coalesce(answered, false) order by at desc, query_id desc) as ra from s)
+with {_LATEST}, s as (select session_id, query_id, len(retrieved_chunks) > 0 as answered, coalesce(asked_at, timestamp '1970-01-01') as asked from l where session_id is not null),
+n as (select *, row_number() over (partition by session_id order by asked desc, query_id desc) as r, row_number() over (partition by session_id, coalesce(answered, false) order by asked desc, query_id desc) as ra from s)
 select session_id, max(case when r = 1 then query_id end) as last_query, max(case when answered and ra = 1 then query_id end) as last_answered from n group by 1
 """
 
