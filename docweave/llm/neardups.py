@@ -33,6 +33,10 @@ BITS = 256
 WIDER = ((150, 2048), (700, 8192))
 #: Pairs looked at together in a task.
 STEP = 1_000_000
+#: Postings that a bucket should have; one with more than twice as many is split into a grid of cells.
+BUCKET_POSTINGS = 2_000_000
+#: Buckets that are counted on a sample of one in SAMPLE records, to size and split them. It changes the work, never the result.
+FINE, SAMPLE = 1 << 14, 8
 #: Keys up to this many go to every task that rereads the records; beyond, both sides are shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -118,8 +122,51 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     return pa.table([table.column("block").slice(0, 1), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int, flush: int = 60_000):
-    """text -> for each bucket of hashes, the prefix postings of the task's records and the records' own data."""
+def _prefixes(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray, counts: np.ndarray, least_likeness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by rarity within each record, place in it, whether it is in the prefix and not sure to be the only one)."""
+    count = counts[(grams % np.uint64(len(counts))).astype(np.int64)].astype(np.uint64)
+    rank = np.argsort((owner.astype(np.uint64) << np.uint64(50)) | (count << np.uint64(34)) | (grams & np.uint64((1 << 34) - 1)))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(sizes)))))
+    pos = np.arange(len(owner)) - starts[owner]
+    s = sizes[owner]
+    prefix = s - np.ceil(least_likeness * s - 1e-9).astype(np.int64) + 1
+    return rank, pos, (pos < prefix) & (count[rank] > 1)
+
+
+def _posting_counts(size: int, least: int, least_likeness: float, sketch):
+    """text -> postings by fine bucket, one row per task and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FINE, np.int64)
+        for batch in _slices(batches):
+            owner, grams = record_sets(batch.column(0), size, least)
+            sizes = np.bincount(owner, minlength=batch.num_rows)
+            if len(owner):
+                rank, _, sent = _prefixes(owner, grams, sizes, sketch.value, least_likeness)
+                total += np.bincount((grams[rank][sent] % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["fine", "n"])
+
+    return run
+
+
+def bucket_grid(fine: np.ndarray, least: int, postings: int) -> np.ndarray:
+    """In how many parts each bucket's records are dealt, from postings by fine bucket. The number of buckets is a
+    power of two, at least `least`, and enough for `postings` in each; a bucket still too full by a hot sequence has several parts."""
+    buckets = 1 << max(0, (least - 1).bit_length())
+    while buckets < len(fine) and fine.sum() > buckets * postings:
+        buckets *= 2
+    load = np.zeros(buckets, np.int64)
+    np.add.at(load, np.arange(len(fine)) % buckets, fine)
+    return np.where(load > 2 * postings, np.ceil(2 * load / postings).astype(np.int64), 1)
+
+
+def _postings(size: int, least: int, least_likeness: float, sketch, grid: np.ndarray, flush: int = 60_000):
+    """text -> for each bucket of hashes, the prefix postings of the task's records and the records' own data.
+
+    The records of a bucket dealt in p parts go to the p cells (i, j), i <= j, that hold their part.
+    """
+    buckets = len(grid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -135,16 +182,22 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
                 base += len(h[0])
             rec, gram, pos = np.concatenate(recs), np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
             where = (gram % np.uint64(buckets)).astype(np.int64)
-            for b in range(buckets):
-                at = np.flatnonzero(where == b)
-                if not len(at):
-                    continue
-                used, local = np.unique(rec[at], return_inverse=True)
-                row = [
-                    keys[used].tobytes(), _narrow(sizes[used]), bitmaps[used].tobytes(), *(w[at_row[used[sizes[used] > above]]].tobytes() for (at_row, w), (above, _) in zip(wider, WIDER)), _narrow(np.bincount(local)),
-                    (gram[at] // np.uint64(buckets)).astype(np.uint32).tobytes(), _narrow(pos[at]),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names)
+            order = np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(ends)):
+                at, parts = order[ends[b] : ends[b + 1]], int(grid[b])
+                part = (keys[rec[at], 0] % np.uint64(parts)).astype(np.int64)
+                cells = [(i, j) for i in range(parts) for j in range(i, parts)]
+                for i, j in cells:
+                    here = at[(part == i) | (part == j)]
+                    if not len(here):
+                        continue
+                    used, local = np.unique(rec[here], return_inverse=True)
+                    row = [
+                        keys[used].tobytes(), _narrow(sizes[used]), bitmaps[used].tobytes(), *(w[at_row[used[sizes[used] > above]]].tobytes() for (at_row, w), (above, _) in zip(wider, WIDER)), _narrow(np.bincount(local)),
+                        (gram[here] // np.uint64(buckets)).astype(np.uint32).tobytes(), _narrow(pos[here]),
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (b, i, j, parts)] + [pa.array([x], pa.binary()) for x in row], names)
 
         total = 0
         for batch in _slices(batches):
@@ -163,13 +216,7 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
             owner, grams = owner[keep], grams[keep]
             if not len(owner):
                 continue
-            count = counts[(grams % np.uint64(len(counts))).astype(np.int64)].astype(np.uint64)
-            rank = np.argsort((owner.astype(np.uint64) << np.uint64(50)) | (count << np.uint64(34)) | (grams & np.uint64((1 << 34) - 1)))
-            starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
-            pos = np.arange(len(owner)) - starts[owner]
-            s = sizes[owner]
-            prefix = s - np.ceil(least_likeness * s - 1e-9).astype(np.int64) + 1
-            sent = (pos < prefix) & (count[rank] > 1)  # a count of 1 is sure to be the only one
+            rank, pos, sent = _prefixes(owner, grams, sizes, counts, least_likeness)
             new = np.cumsum(fresh) - 1
             wide = []
             for above, bits in WIDER:
@@ -184,15 +231,16 @@ def _postings(size: int, least: int, least_likeness: float, sketch, buckets: int
         if held:
             yield from send()
 
-    names = ["bucket", "keys", "sizes", "bitmaps", *(f"wide{bits}" for _, bits in WIDER), "per_record", "grams", "positions"]
+    names = ["bucket", "part_a", "part_b", "parts", "keys", "sizes", "bitmaps", *(f"wide{bits}" for _, bits in WIDER), "per_record", "grams", "positions"]
     return run
 
 
 def _join_bucket(least_likeness: float):
-    """All postings of a bucket -> pairs of set keys that may be alike, each once."""
+    """All postings of a cell of a bucket -> pairs of set keys that may be alike, each once; in a cell of two parts only pairs of both."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
+        part_a, part_b, parts = (table.column(c)[0].as_py() for c in ("part_a", "part_b", "parts"))
+        cols = {c: table.column(c).to_pylist() for c in table.column_names if c not in ("bucket", "part_a", "part_b", "parts")}
         keys = np.concatenate([np.frombuffer(k, np.uint64).reshape(-1, 2) for k in cols["keys"]])
         m = [len(k) // 16 for k in cols["keys"]]
         size = np.concatenate([_wide(s, n) for s, n in zip(cols["sizes"], m)])
@@ -202,6 +250,7 @@ def _join_bucket(least_likeness: float):
         gram = np.concatenate([np.frombuffer(g, np.uint32) for g in cols["grams"]])
         pos = np.concatenate([_wide(p, len(g) // 4) for p, g in zip(cols["positions"], cols["grams"])])
         cols.clear()
+        part = (keys[:, 0] % np.uint64(parts)).astype(np.int32)
         first, same = np.unique(keys, axis=0, return_index=True, return_inverse=True)[1:]
         kept = np.zeros(len(keys), bool)
         kept[first] = True
@@ -252,6 +301,8 @@ def _join_bucket(least_likeness: float):
                     o = np.repeat(need[i:j], w)
                     differ = np.bitwise_count(bitmaps[rec[x]] ^ bitmaps[rec[y]]).sum(axis=1, dtype=np.int64)
                     ok = (n[x] + n[y] - differ >= 2 * o) & (rec[x] != rec[y])
+                    if part_a != part_b:
+                        ok &= part[rec[x]] != part[rec[y]]
                     x, y, o = x[ok], y[ok], o[ok]
                     for above, row, wide in wider:
                         fine = np.ones(len(x), bool)
@@ -329,11 +380,15 @@ def near_duplicates(
         total[block * (slots // 64) : (block + 1) * (slots // 64)] = np.frombuffer(counts, np.uint16)
     sketch = spark.sparkContext.broadcast(total)
 
-    if buckets is None:  # each holds the data of its records, so their number follows the records
-        buckets = max(spark.sparkContext.defaultParallelism, -(-first.where("set_key is not null").count() // 200_000))
-    posted = "bucket int, keys binary, sizes binary, bitmaps binary, " + "".join(f"wide{bits} binary, " for _, bits in WIDER) + "per_record binary, grams binary, positions binary"
-    postings = rows.select("text").mapInArrow(_postings(gram_words, least_words, least_likeness, sketch, buckets), posted)
-    pairs = staged(postings.groupBy("bucket").applyInArrow(_join_bucket(least_likeness), "key_a binary, key_b binary").distinct(), "pairs")
+    # a sample shows how many postings there will be, and which sequences are hot
+    fine = np.zeros(FINE, np.int64)
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_posting_counts(gram_words, least_words, least_likeness, sketch), "fine int, n long")
+    for at, n in some.groupBy("fine").agg(F.sum("n")).collect():  # at most FINE rows
+        fine[at] = n * SAMPLE
+    grid = bucket_grid(fine, buckets or spark.sparkContext.defaultParallelism, BUCKET_POSTINGS)
+    posted = "bucket int, part_a int, part_b int, parts int, keys binary, sizes binary, bitmaps binary, " + "".join(f"wide{bits} binary, " for _, bits in WIDER) + "per_record binary, grams binary, positions binary"
+    postings = rows.select("text").mapInArrow(_postings(gram_words, least_words, least_likeness, sketch, grid), posted)
+    pairs = staged(postings.groupBy("bucket", "part_a", "part_b").applyInArrow(_join_bucket(least_likeness), "key_a binary, key_b binary").distinct(), "pairs")
 
     needed = pairs.select(F.col("key_a").alias("set_key")).unionByName(pairs.select(F.col("key_b").alias("set_key"))).distinct()
     carriers = staged(first.where("set_key is not null").select("set_key", "id").join(needed, "set_key", "left_semi").groupBy("set_key").agg(F.min("id").alias("id")), "carriers")

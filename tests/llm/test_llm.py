@@ -300,6 +300,19 @@ def test_p4_equals_brute_force(spark, buckets, bits):
     assert len(got) == len(set(got)) and set(got) == truth and truth
 
 
+def test_p4_split_buckets_give_the_same_pairs(spark, monkeypatch):
+    docs = collection(60)
+    df = spark.createDataFrame([*docs.items()], "chunk_id string, text string").repartition(3)
+    ask = lambda: sorted((bytes(r["key_a"]), bytes(r["key_b"])) for r in neardups.near_duplicates(df, buckets=2)[1].collect())
+    whole = ask()
+    monkeypatch.setattr(neardups, "SAMPLE", 1)
+    monkeypatch.setattr(neardups, "FINE", 4)
+    monkeypatch.setattr(neardups, "BUCKET_POSTINGS", 60)
+    grid = neardups.bucket_grid(np.array([500, 1, 0, 90]), 2, 60)
+    assert len(grid) == 4 and grid[0] > 3 and grid[1] == 1
+    assert ask() == whole and whole
+
+
 def test_p4_derived_answers_equal_full_ones(spark):
     base = text(120)
     docs = {f"d{i:02d}": edited(base, i % 9) for i in range(40)}
