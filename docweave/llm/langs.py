@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,8 +230,11 @@ def segments_of(path: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, in
 
 
 def train(samples: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "sample_id", most: int = 2000) -> LanguageModel:
-    """Fit on at most `most` labelled rows (by id), a documented bound for the classifier only."""
-    rows = samples.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).orderBy(id_col).limit(most).select(lang_col, text_col).collect()
+    """Fit on at most `most` labelled rows, a documented bound for the classifier only: as many of each language, by hash."""
+    known = samples.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    share = max(1, most // max(1, known.select(lang_col).distinct().count()))
+    place = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(text_col), id_col))
+    rows = known.withColumn("__place", place).where(F.col("__place") <= share).orderBy(id_col).select(lang_col, text_col).collect()
     return fit([r[1] for r in rows], [r[0] for r in rows])
 
 

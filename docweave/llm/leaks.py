@@ -120,6 +120,8 @@ def leaks(
 
     The test hashes prescreen the corpus inside the tasks if there are at most
     `broadcast_hashes` of them (a checked count), else the hashes of both sides meet in a shuffle.
+    Their places in the items go to every task only while these are no more either, as items that
+    share passages repeat a hash. A document and an item have no more shifts than words together.
     """
     spark = docs.sparkSession
     width = {len(m) for m in masks}
@@ -136,7 +138,7 @@ def leaks(
     only = np.sort(distinct) if small else None
     doc_hits = corpus.mapInArrow(_windows(masks, only), hash_schema(docs, doc_id)).select(F.col("key").alias("doc"), "hash", F.col("at").alias("doc_at"))
     pairs = staged(
-        doc_hits.join(F.broadcast(test_hits) if small else test_hits, "hash")
+        doc_hits.join(F.broadcast(test_hits) if small and test_hits.count() <= broadcast_hashes else test_hits, "hash")
         .select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
         .groupBy("doc", "item")
         .agg(F.collect_set("shift").alias("shifts")),

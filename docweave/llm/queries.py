@@ -47,8 +47,12 @@ def vector_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_similar(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 most similar items of every item, by the hashes of their keys."""
-    return vectors.most_similar(vector_items(spark, d), tie_col="key")
+    """The 10 most similar items of every item, by their keys."""
+    items = vector_items(spark, d)
+    found = vectors.most_similar(items, tie_col="key")
+    names = items.select("id", "key").distinct()
+    own, other = names.select("id", "key"), names.select(F.col("id").alias("neighbour"), F.col("key").alias("neighbour_key"))
+    return found.join(own, "id").join(other, "neighbour").select("key", "neighbour_key", "cosine", "rank")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,15 +1,12 @@
 """Most similar vectors for every vector.
 
 Method: balanced posting lists. Centroids are fitted on a bounded sample and split until the lists
-are of like size; vectors near a boundary are kept in several lists; every vector is compared with
-all centroids, which the sample bounds; a query reads the lists whose centroid is not much farther
-than its nearest (distance-ratio pruning). Neighbouring lists form
-shards, so that a vector travels once per shard that it is kept or asked in. Every vector is
+are of like size; where the sample bounds their number, lists that are too long are split again, each
+by its own vectors, and are found by way of the list that they come of; vectors near a boundary are kept in several lists; a query reads the lists whose centroid is
+not much farther than its nearest (distance-ratio pruning). Neighbouring lists form shards, so that a vector travels once per shard that it is kept or asked in. Every vector is
 indexed and every vector is a query.
 """
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -81,30 +78,59 @@ def shards_of(c: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """The centroids of a group's lists, and the shard of each."""
+    """The centroids of a group's lists with the shard of each, and the coarse centroids that lead to them.
+
+    Coarse centroids are those fitted on the sample, which bounds their number. The lists of the
+    coarse centroid i are numbers `first[i]` to `first[i + 1]`; where no list was split each is one.
+    """
 
+    coarse: np.ndarray
     centroids: np.ndarray
+    first: np.ndarray
     shards: np.ndarray
 
     @classmethod
-    def build(cls, centroids: np.ndarray, shards: int) -> Centroids:
-        return cls(centroids, shards_of(centroids, shards))
+    def build(cls, coarse: np.ndarray, shards: int, split: dict[int, np.ndarray] | None = None) -> "Centroids":
+        parts = [split[i] if split and i in split else coarse[i : i + 1] for i in range(len(coarse))]
+        first = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return cls(coarse, np.concatenate(parts), first, np.repeat(shards_of(coarse, shards), np.diff(first)))
 
     def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The up to `most` nearest centroids of each vector, nearest first, and their cosines; all are compared."""
-        k = len(self.centroids)
-        most = min(most, k)
-        near = np.zeros((len(x), most), np.int64)
-        cosine = np.zeros((len(x), most), np.float32)
+        """The up to `most` nearest lists of each vector, nearest first, and the cosines of their centroids.
+
+        All coarse centroids are compared; where lists were split, the lists of the `most` nearest
+        coarse ones are, and -1 stands where there are less than `most`.
+        """
+        k = len(self.coarse)
+        many = min(most, k)
+        split = len(self.centroids) > k
+        wide = most if split else many
+        near = np.zeros((len(x), wide), np.int64)
+        cosine = np.zeros((len(x), wide), np.float32)
         step = max(1, SCORES // k)
         for i in range(0, len(x), step):
-            s = x[i : i + step] @ self.centroids.T
-            top = np.argpartition(-s, most - 1, axis=1)[:, :most]
+            s = x[i : i + step] @ self.coarse.T
+            top = np.argpartition(-s, many - 1, axis=1)[:, :many]
             v = np.take_along_axis(s, top, axis=1)
             order = np.argsort(-v, axis=1)
-            near[i : i + step], cosine[i : i + step] = np.take_along_axis(top, order, axis=1), np.take_along_axis(v, order, axis=1)
+            ids, values = np.take_along_axis(top, order, axis=1), np.take_along_axis(v, order, axis=1)
+            near[i : i + step], cosine[i : i + step] = self._lists(x[i : i + step], ids, most) if split else (ids, values)
         return near, cosine
 
+    def _lists(self, x: np.ndarray, coarse: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best lists among those of the coarse centroids found."""
+        best = np.full((len(x), most), -1, np.int64)
+        value = np.full((len(x), most), -2, np.float32)
+        for at in range(coarse.shape[1]):
+            for c in np.unique(coarse[:, at]):
+                rows = np.flatnonzero(coarse[:, at] == c)
+                lists = np.arange(self.first[c], self.first[c + 1])
+                s = np.concatenate([value[rows], x[rows] @ self.centroids[lists].T], axis=1)
+                ids = np.concatenate([best[rows], np.broadcast_to(lists, (len(rows), len(lists)))], axis=1)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :most]
+                best[rows], value[rows] = np.take_along_axis(ids, order, axis=1), np.take_along_axis(s, order, axis=1)
+        return best, value
+
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column that hold `dim` finite values, not all zero, and these scaled to length 1."""
@@ -137,9 +163,45 @@ def fit(items: DataFrame, dim: int, per_list: int, sample: int, shards: int) ->
             own = np.eye(1, dim, dtype=np.float32)
         lists = int(np.clip(n // per_list, 1, max(1, len(own) // 16)))
         graphs[group] = Centroids.build(split_centroids(own, lists), max(1, -(-shards * n // max(rows, 1))))
+    if any(n // per_list > 2 * len(graphs[g].coarse) for g, n in counts.items()):
+        return _split_again(items, graphs, counts, dim, per_list, shards)
     return graphs
 
 
+def _split_again(items: DataFrame, graphs: dict[str, Centroids], counts: dict[str, int], dim: int, per_list: int, shards: int, each: int = 16) -> dict[str, Centroids]:
+    """Lists that hold more than twice `per_list` vectors, as counted over all of them, are split by about `each`
+    of their own vectors for every list that comes of it; a list's part of the work is one small task."""
+    spark = items.sparkSession
+    shared = spark.sparkContext.broadcast(graphs)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right, x = unit_vectors(batch.column(2), dim)
+            names, ids = np.array(batch.column(1).take(pa.array(right)).to_pylist(), dtype=object).astype(str), batch.column(0).take(pa.array(right))
+            lists = np.zeros(len(right), np.int32)
+            for group in np.unique(names) if len(names) else []:
+                own = np.flatnonzero(names == group)
+                for i in range(0, len(own), 8192):
+                    lists[own[i : i + 8192]] = shared.value[group].search(x[own[i : i + 8192]], 1)[0][:, 0]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(lists), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))], ["id", "group", "list", "vector"])
+
+    placed = items.select("id", "group", "vector").mapInArrow(nearest, "id long, group string, list int, vector array<float>")
+    full = placed.groupBy("group", "list").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per_list)
+    drawn = placed.join(F.broadcast(full), ["group", "list"]).where(F.pmod(F.xxhash64("id"), F.lit(per_list)) < each)  # a list's share follows its size
+
+    def split(key: tuple, table: pa.Table) -> pa.Table:
+        x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        n = table.column("n")[0].as_py()
+        c = split_centroids(x, max(1, min(n // per_list, len(x) // 4)))
+        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["group", "list", "centroids"])
+
+    parts: dict[str, dict[int, np.ndarray]] = {}
+    for group, number, data in drawn.groupBy("group", "list").applyInArrow(split, "group string, list int, centroids binary").collect():  # centroids only
+        parts.setdefault(group, {})[number] = np.frombuffer(data, np.float32).reshape(-1, dim)
+    total = max(sum(counts.values()), 1)
+    return {g: Centroids.build(c.coarse, max(1, -(-shards * counts[g] // total)), parts.get(g)) for g, c in graphs.items()}
+
+
 def equal_vectors(rows: DataFrame, dim: int) -> tuple[DataFrame, int]:
     """(rep, id, tie) of every vector that others of its group equal once scaled to length 1, where rep is
     the least id of them; and how many such sets there are."""
@@ -240,8 +302,8 @@ def most_similar(
                 own = np.flatnonzero(names == group)
                 near, cosine = graph.search(x[own], asked)
                 far = np.sqrt(np.maximum(2 - 2 * cosine, 0))
-                ask = far <= far[:, :1] * asked_ratio + 1e-6
-                keep = (far <= far[:, :1] * kept_ratio + 1e-6) & (np.arange(near.shape[1]) < kept_in)
+                ask = (far <= far[:, :1] * asked_ratio + 1e-6) & (near >= 0)
+                keep = ask & (far <= far[:, :1] * kept_ratio + 1e-6) & (np.arange(near.shape[1]) < kept_in)
                 shard = graph.shards[near]
                 for s in np.unique(shard[ask]):
                     here = ask & (shard == s)

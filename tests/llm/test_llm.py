@@ -257,6 +257,22 @@ def test_p3_finds_the_nearest_of_many_lists(spark):
     assert np.allclose(np.take_along_axis(cosine, near, axis=1), -np.sort(-cosine, axis=1)[:, :10], atol=1e-5)
 
 
+def test_p3_splits_lists_that_the_sample_leaves_too_long(spark):
+    rng = np.random.default_rng(6)
+    base = np.concatenate([rng.normal(size=(30, 64)), np.repeat(rng.normal(size=(1, 64)), 30, axis=0) + 0.3 * rng.normal(size=(30, 64))])
+    x = np.repeat(base, 100, axis=0) + 0.5 * rng.normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, "m", [float(v) for v in row]) for i, row in enumerate(x)], "id long, group string, vector array<float>")
+    lists = vectors.fit(df, 64, 40, 600, 4)["m"]
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    sizes = np.bincount(lists.search(u, 10)[0][:, 0], minlength=len(lists.centroids))
+    assert len(lists.coarse) <= 37 < 100 < len(lists.centroids) and sizes.max() < 400
+    top: dict[int, set] = {}
+    for r in vectors.most_similar(df, per_list=40, sample=600).collect():
+        top.setdefault(r["id"], set()).add(r["neighbour"])
+    right = [len(top[i] & set(np.argsort(-np.where(np.arange(6000) != i, u @ u[i], -9))[:10].tolist())) for i in range(0, 6000, 20)]
+    assert sum(right) >= 0.9 * 10 * len(right)
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_p3_copies_pair_by_their_keys(spark, monkeypatch, limit):
     if limit is not None:
