@@ -96,7 +96,7 @@ class History:
     `least`, the number of buckets and the order of word sequences are fixed by the first batch.
     """
 
-    def __init__(self, spark: SparkSession, root: str, least: float = 0.5, bucket_prints: int = 1_000_000, bits_per_print: int = 12, sketch_bits: int = 21):
+    def __init__(self, spark: SparkSession, root: str, least: float = 0.5, bucket_prints: int = 8_000_000, bits_per_print: int = 12, sketch_bits: int = 21):
         self.spark, self.root, self.least = spark, root, least
         self.bucket_prints, self.bits_per_print, self.sketch_bits = bucket_prints, bits_per_print, sketch_bits
         self.batches, self.id_type = sorted(self._names("batches")), "string"
@@ -270,6 +270,7 @@ class History:
         taken_in = F.when(F.col("accepted").isNull(), True).otherwise((F.col("accepted") == 1) & first)
         kinds["document"] = decided.select("id", F.when(F.col("accepted").isNotNull(), F.col("text_key")).alias("text_key"), taken_in.alias("in_store"))
         self._write(tag, **kinds)
+        self.spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the batch's shuffle files and broadcasts
         return tag
 
     def _decide(self, fresh: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
