@@ -100,10 +100,10 @@ class History:
         self.spark, self.root, self.least = spark, root, least
         self.bucket_prints, self.bits_per_print, self.sketch_bits = bucket_prints, bits_per_print, sketch_bits
         self.batches, self.id_type = sorted(self._names("batches")), "string"
-        self.buckets, self.sketch = 1, None
+        self.buckets, self.slots, self.sketch = 1, 64, None
         if self.batches:
             fixed = spark.read.parquet(f"{root}/fixed").first()
-            self.buckets, self.least, self.id_type = fixed["buckets"], fixed["least"], fixed["id_type"]
+            self.buckets, self.slots, self.least, self.id_type = (fixed[c] for c in ("buckets", "slots", "least", "id_type"))
             self._share(np.frombuffer(fixed["counts"], np.uint16))
 
     def _path(self, name: str) -> tuple:
@@ -125,13 +125,13 @@ class History:
         return whole.where((F.col("kind") == kind) & F.col("batch").isin(self.batches)).select(*columns)
 
     def _write(self, tag: str, **kinds: DataFrame) -> None:
-        """Write a batch's rows by kind; a bucket's rows into one file."""
+        """Write a batch's rows by kind and bucket."""
         parts = []
         for kind, df in kinds.items():
             for c in ("accepted", "bucket"):
                 df = df if c in df.columns else df.withColumn(c, F.lit(-1))
             spread = kind in ("print", "set") and self.buckets > 1
-            parts.append((df.repartition("bucket") if spread else df.coalesce(1) if kind in ("print", "set") else df).withColumn("kind", F.lit(kind)))
+            parts.append((df.repartition("bucket") if spread else df).withColumn("kind", F.lit(kind)))
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part, allowMissingColumns=True)
@@ -143,6 +143,9 @@ class History:
     def bucket(self, column: str) -> F.Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
+    def slot(self) -> F.Column:
+        return F.pmod(F.xxhash64("print"), F.lit(self.slots)).cast("int")
+
     def _buckets_of(self, df: DataFrame, column: str) -> list[int]:
         if self.buckets == 1:
             return [0]
@@ -185,7 +188,7 @@ class History:
         return texts.select("text_key", "first_id", "text").mapInArrow(run, FRESH.format(self.id_type))
 
     def filters(self, prints: DataFrame) -> DataFrame:
-        """(pos, bits) of fingerprints, pos being their bucket; a filter's length follows their number."""
+        """(pos, bits) of fingerprints, pos being their slot; a filter's length follows their number."""
         per_print, names = self.bits_per_print, ["pos", "bits"]
 
         def fill(key: tuple, table: pa.Table) -> pa.Table:
@@ -195,7 +198,7 @@ class History:
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
             return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=names)
 
-        return prints.select(self.bucket("print").alias("at"), "print").groupBy("at").applyInArrow(fill, "pos int, bits binary")
+        return prints.select(self.slot().alias("at"), "print").groupBy("at").applyInArrow(fill, "pos int, bits binary")
 
     def positives(self, probes: DataFrame) -> DataFrame:
         """The rows (print, text_key, n, pos) whose fingerprint may be in the store."""
@@ -213,7 +216,7 @@ class History:
             return left.filter(pa.array(hit))
 
         filters = self._rows("bloom", F.col("pos").alias("bucket"), "bits")
-        return probes.withColumn("bucket", self.bucket("print")).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(screen, schema)
+        return probes.withColumn("bucket", self.slot()).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(screen, schema)
 
     def _candidates(self, new: DataFrame, old: DataFrame) -> DataFrame:
         """(new, old): pairs with a common fingerprint whose sizes and places leave room for the likeness."""
@@ -258,8 +261,9 @@ class History:
         else:
             total = fresh.agg(F.sum(F.size("prints"))).first()[0] or 0
             self.buckets = 1 << max(0, (total // self.bucket_prints).bit_length())
-            fixed = [(bytearray(self.sketch.value.tobytes()), self.buckets, self.least, self.id_type)]
-            self.spark.createDataFrame(fixed, "counts binary, buckets int, least double, id_type string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fixed")
+            self.slots = max(64, 1 << (total // 1_000_000).bit_length())  # parts of the Bloom filter, of a million fingerprints at first
+            fixed = [(bytearray(self.sketch.value.tobytes()), self.buckets, self.slots, self.least, self.id_type)]
+            self.spark.createDataFrame(fixed, "counts binary, buckets int, slots int, least double, id_type string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fixed")
             status = fresh.select("text_key", "first_id", F.lit(1).alias("accepted"), F.lit(False).alias("known"))
         added = status.where("not known").select("text_key", "accepted")
         kinds["print"] = probes.join(added, "text_key").select("*", self.bucket("print").alias("bucket"))
