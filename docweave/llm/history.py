@@ -274,13 +274,18 @@ class History:
         taken_in = F.when(F.col("accepted").isNull(), True).otherwise((F.col("accepted") == 1) & first)
         kinds["document"] = decided.select("id", F.when(F.col("accepted").isNotNull(), F.col("text_key")).alias("text_key"), taken_in.alias("in_store"))
         self._write(tag, **kinds)
-        self.spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the batch's shuffle files and broadcasts
+        self._clean()
         return tag
 
+    def _clean(self) -> None:
+        """Let Spark's cleaner drop shuffle files and broadcasts of what is done; a batch takes many small jobs."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def _decide(self, fresh: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(text_key, first_id, accepted, known) of a batch's texts, and its pairs. A known text is in the store, accepted."""
         positive = staged(self.positives(probes), "positive")
         by_history = staged(self._looked_up(positive, fresh, True), "by-history")
+        self._clean()
         gone = by_history.groupBy(F.col("new").alias("text_key")).agg(F.max(F.col("new") == F.col("old")).alias("known"))
         free = fresh.join(gone, "text_key", "left_anti")
         free_probes = probes.join(gone, "text_key", "left_anti")
@@ -288,11 +293,13 @@ class History:
         own = self._candidates(free_probes, free_probes).join(order.select(F.col("text_key").alias("new"), F.col("first_id").alias("id_new")), "new")
         own = own.join(order.select(F.col("text_key").alias("old"), F.col("first_id").alias("id_old")), "old").where("id_new < id_old").select("new", "old")
         within = staged(self._verified(own, free, free), "within")
+        self._clean()
         out = _rejected_within(within.select(F.col("new").alias("a"), F.col("old").alias("b")))
         late = (out if out is not None else within.select(F.col("new").alias("k")).limit(0)).select(F.col("k").alias("text_key"), F.lit(True).alias("late")).distinct()
         status = fresh.select("text_key", "first_id").join(gone, "text_key", "left").join(late, "text_key", "left")
         status = status.select("text_key", "first_id", (F.col("known").isNull() & F.col("late").isNull()).cast("int").alias("accepted"), F.coalesce("known", F.lit(False)).alias("known"))
         status = staged(status, "status")
+        self._clean()
         # what is newly accepted meets the rejected texts, of the store and of this batch
         accepted = status.where("accepted = 1").select("text_key")
         with_old = self._looked_up(positive.join(accepted, "text_key", "left_semi"), fresh, False)
