@@ -8,8 +8,12 @@ positions leave room for the likeness are verified on their whole sets; then fil
 in the batch.
 
 A new batch is first held against the accepted texts. What is alike to one of them is rejected and
-met with no other rejected text. The rest meets itself in order, and what is then accepted is held
-against the rejected texts, as these pairs are asked too. Texts of the history aren't read again.
+met with no other rejected text. The rest meets itself and what was rejected, in one join, and is
+decided in order; what is then accepted is held against the rejected texts of the store, as these
+pairs are asked too. Texts of the history aren't read again.
+
+A batch takes few jobs, as every job stays in the driver's memory for a while: fingerprints stay
+packed by text until they are met, and what is small is counted and sent to where it is needed.
 """
 
 import uuid
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +30,13 @@ from docweave.session import scratch_path, staged
 
 GRAM_WORDS, LEAST_WORDS = 3, 20
 BLOOM_HASHES = 4
+#: Rows of keys or fingerprints that are sent to every task, counted before; more are shuffled.
+SENT_ROWS = 200_000
+#: Pairs of a batch, counted before, that one task decides in order; of more, rounds decide a part first.
+ORDERED_PAIRS = 1_000_000
 
 FRESH = "text_key binary, first_id {}, n int, grams binary, prints array<long>"
+REJECTED = "text_key binary, known boolean"
 #: A batch of the store is one table; `kind` says which of its columns a row has.
 STORE = "print long, text_key binary, n int, pos int, grams binary, bits binary, id {}, in_store boolean, other_key binary, likeness double, batch string, kind string, accepted int, bucket int"
 
@@ -121,8 +130,11 @@ class History:
         """Rows of a kind of all batches that count."""
         if not self.batches:
             return self.spark.createDataFrame([], STORE.format(self.id_type)).select(*columns)
-        whole = self.spark.read.schema(STORE.format(self.id_type)).parquet(f"{self.root}/store")
-        return whole.where((F.col("kind") == kind) & F.col("batch").isin(self.batches)).select(*columns)
+        found = [self._path(f"store/batch={batch}/kind={kind}") for batch in self.batches]  # to list all kinds' folders takes a job
+        paths = [path.toString() for path, fs in found if fs.exists(path)]
+        if not paths:
+            return self.spark.createDataFrame([], STORE.format(self.id_type)).select(*columns)
+        return self.spark.read.schema(STORE.format(self.id_type)).option("basePath", f"{self.root}/store").parquet(*paths).select(*columns)
 
     def _write(self, tag: str, **kinds: DataFrame) -> None:
         """Write a batch's rows by kind and bucket."""
@@ -221,18 +233,21 @@ class History:
     def _candidates(self, new: DataFrame, old: DataFrame) -> DataFrame:
         """(new, old): pairs with a common fingerprint whose sizes and places leave room for the likeness."""
         a = new.select("print", F.col("text_key").alias("new"), F.col("n").alias("n_new"), F.col("pos").alias("pos_new"))
-        b = old.select("print", F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("pos").alias("pos_old"))
+        b = old.select("print", F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("pos").alias("pos_old"), *(c for c in old.columns if c == "gone"))
         room = F.least(F.col("n_new") - F.col("pos_new"), F.col("n_old") - F.col("pos_old"))
         need = (F.col("n_new") + F.col("n_old")) * (self.least / (1 + self.least)) - 1e-6
-        return a.join(b, "print").where(room >= need).select("new", "old").distinct()
-
-    def _verified(self, pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
-        """The pairs (new, old, likeness) that are alike, by their whole sets."""
-        a = new.select(F.col("text_key").alias("new"), F.col("n").alias("n_new"), F.col("grams").alias("grams_new"))
-        b = old.select(F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("grams").alias("grams_old"))
+        met = a.join(b, "print").where(room >= need)
+        if "gone" not in old.columns:
+            return met.select("new", "old").distinct()
+        return met.where(F.col("gone") | (F.col("new") < F.col("old"))).select("new", "old", "gone").distinct()  # a batch with itself: each pair once
+
+    def _verified(self, pairs: DataFrame, new: DataFrame, old: DataFrame, *kept: str) -> DataFrame:
+        """The pairs (new, old, *kept, likeness) that are alike, by their whole sets; `kept` are columns of either text or pair."""
+        a = new.select(F.col("text_key").alias("new"), F.col("n").alias("n_new"), F.col("grams").alias("grams_new"), *(F.col("first_id").alias(c) for c in kept if c == "id_new"))
+        b = old.select(F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("grams").alias("grams_old"), *(F.col("first_id").alias(c) for c in kept if c == "id_old"))
         shared = shared_grams(pairs.join(a, "new").join(b, "old"), "grams_new", "grams_old")
         likeness = F.col("shared") / (F.col("n_new") + F.col("n_old") - F.col("shared"))
-        return shared.select("new", "old", likeness.alias("likeness")).where(F.col("likeness") >= self.least)
+        return shared.select("new", "old", *kept, likeness.alias("likeness")).where(F.col("likeness") >= self.least)
 
     def _looked_up(self, probes: DataFrame, fresh: DataFrame, accepted: bool) -> DataFrame:
         """Pairs (new, old, likeness) of a batch's texts with accepted or with rejected texts of the store, the same text among them."""
@@ -254,23 +269,24 @@ class History:
             self.id_type = docs.schema[id_col].dataType.simpleString()
             self._share(count_sketch(texts.select("text"), self.sketch_bits))
         fresh = staged(self.fingerprints(texts), "fresh")
-        probes = fresh.select("text_key", "n", F.posexplode("prints").alias("pos", "print")).select("print", "text_key", "n", "pos")
+        probes = _exploded(fresh)
         kinds = {}
         if begun:
-            status, kinds["pair"] = self._decide(fresh, probes)
+            rejected, kinds["pair"] = self._decide(fresh)
         else:
             total = fresh.agg(F.sum(F.size("prints"))).first()[0] or 0
             self.buckets = 1 << max(0, (total // self.bucket_prints).bit_length())
             self.slots = max(64, 1 << (total // 1_000_000).bit_length())  # parts of the Bloom filter, of a million fingerprints at first
             fixed = [(bytearray(self.sketch.value.tobytes()), self.buckets, self.slots, self.least, self.id_type)]
             self.spark.createDataFrame(fixed, "counts binary, buckets int, slots int, least double, id_type string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fixed")
-            status = fresh.select("text_key", "first_id", F.lit(1).alias("accepted"), F.lit(False).alias("known"))
-        added = status.where("not known").select("text_key", "accepted")
-        kinds["print"] = probes.join(added, "text_key").select("*", self.bucket("print").alias("bucket"))
-        kinds["set"] = fresh.join(added, "text_key", "left_semi").select("text_key", "n", "grams", self.bucket("text_key").alias("bucket"))
+            rejected = self.spark.createDataFrame([], REJECTED)
+        status = fresh.join(rejected, "text_key", "left").withColumn("accepted", F.col("known").isNull().cast("int"))
+        added = status.where("known is null or not known")
+        kinds["print"] = _exploded(added, "accepted").select("*", self.bucket("print").alias("bucket"))
+        kinds["set"] = added.select("text_key", "n", "grams", self.bucket("text_key").alias("bucket"))
         kinds["bloom"] = self.filters(probes)
-        first = F.lit(True) if not begun else ~F.col("known") & (F.col("id") == F.col("first_id"))
-        decided = rows.select("id", "text_key").join(status, "text_key", "left")
+        first = F.lit(True) if not begun else F.col("id") == F.col("first_id")
+        decided = rows.select("id", "text_key").join(status.select("text_key", "first_id", "accepted"), "text_key", "left")
         taken_in = F.when(F.col("accepted").isNull(), True).otherwise((F.col("accepted") == 1) & first)
         kinds["document"] = decided.select("id", F.when(F.col("accepted").isNotNull(), F.col("text_key")).alias("text_key"), taken_in.alias("in_store"))
         self._write(tag, **kinds)
@@ -281,35 +297,34 @@ class History:
         """Let Spark's cleaner drop shuffle files and broadcasts of what is done; a batch takes many small jobs."""
         self.spark.sparkContext._jvm.System.gc()
 
-    def _decide(self, fresh: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(text_key, first_id, accepted, known) of a batch's texts, and its pairs. A known text is in the store, accepted."""
-        positive = staged(self.positives(probes), "positive")
+    def _decide(self, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(text_key, known) of a batch's rejected texts, and its pairs. A known text is in the store, accepted."""
+        positive, n = _counted(self.positives(_exploded(fresh)), "positive")
+        positive = _sent(positive, n)
         by_history = staged(self._looked_up(positive, fresh, True), "by-history")
-        self._clean()
         gone = by_history.groupBy(F.col("new").alias("text_key")).agg(F.max(F.col("new") == F.col("old")).alias("known"))
-        free = fresh.join(gone, "text_key", "left_anti")
-        free_probes = probes.join(gone, "text_key", "left_anti")
-        order = free.select("text_key", "first_id")
-        own = self._candidates(free_probes, free_probes).join(order.select(F.col("text_key").alias("new"), F.col("first_id").alias("id_new")), "new")
-        own = own.join(order.select(F.col("text_key").alias("old"), F.col("first_id").alias("id_old")), "old").where("id_new < id_old").select("new", "old")
-        within = staged(self._verified(own, free, free), "within")
-        self._clean()
-        out = _rejected_within(within.select(F.col("new").alias("a"), F.col("old").alias("b")))
-        late = (out if out is not None else within.select(F.col("new").alias("k")).limit(0)).select(F.col("k").alias("text_key"), F.lit(True).alias("late")).distinct()
-        status = fresh.select("text_key", "first_id").join(gone, "text_key", "left").join(late, "text_key", "left")
-        status = status.select("text_key", "first_id", (F.col("known").isNull() & F.col("late").isNull()).cast("int").alias("accepted"), F.coalesce("known", F.lit(False)).alias("known"))
-        status = staged(status, "status")
+        gone = _sent(*_counted(gone, "gone"))
+        # the rest meets itself, and what is gone
+        marked = fresh.join(gone, "text_key", "left").withColumn("gone", F.col("known").isNotNull())
+        own = self._candidates(_exploded(marked.where("not gone")), _exploded(marked, "gone"))
+        within, n = _counted(self._verified(own, fresh, fresh, "gone", "id_new", "id_old"), "within")
         self._clean()
+        earlier = F.col("id_new") < F.col("id_old")
+        first, later = F.when(earlier, F.col("new")).otherwise(F.col("old")), F.when(earlier, F.col("old")).otherwise(F.col("new"))
+        free = within.where("not gone and id_new <> id_old").select(first.alias("a"), later.alias("b"), F.greatest("id_new", "id_old").alias("id_b"), "likeness")
+        late = _rejected_within(free.select("a", "b", "id_b"), n)
+        rejected = _sent(*_counted(gone.unionByName(late.select(F.col("k").alias("text_key"), F.lit(False).alias("known"))), "rejected"))
         # what is newly accepted meets the rejected texts, of the store and of this batch
-        accepted = status.where("accepted = 1").select("text_key")
-        with_old = self._looked_up(positive.join(accepted, "text_key", "left_semi"), fresh, False)
-        with_new = self._verified(self._candidates(probes.join(accepted, "text_key", "left_semi"), probes.join(gone, "text_key", "left_semi")), fresh, fresh)
-        ins = [status.select(F.col("text_key").alias(c), F.col("accepted").alias(f"{c}_in")) for c in ("new", "old")]
-        mixed = within.join(ins[0], "new").join(ins[1], "old").where("new_in <> old_in")
-        mixed = mixed.select(F.when(F.col("new_in") == 1, F.col("old")).otherwise(F.col("new")).alias("rejected"), F.when(F.col("new_in") == 1, F.col("new")).otherwise(F.col("old")).alias("accepted"), "likeness")
-        late_pairs = with_old.unionByName(with_new).select(F.col("old").alias("rejected"), F.col("new").alias("accepted"), "likeness")
+        keys = rejected.select("text_key")
+        with_old = self._looked_up(positive.join(keys, "text_key", "left_anti"), fresh, False)
+        with_new = within.where("gone").join(keys.withColumnRenamed("text_key", "new"), "new", "left_anti")
+        # of a pair in order the later one is rejected if the first is accepted; else the later one may be accepted
+        ins = [rejected.select(F.col("text_key").alias(c), F.lit(True).alias(f"{c}_out")) for c in ("a", "b")]
+        mixed = free.join(ins[0], "a", "left").join(ins[1], "b", "left").where("a_out is null and b_out or a_out and b_out is null")
+        mixed = mixed.select(F.when(F.col("b_out"), F.col("b")).otherwise(F.col("a")).alias("rejected"), F.when(F.col("b_out"), F.col("a")).otherwise(F.col("b")).alias("accepted"), "likeness")
+        late_pairs = with_old.unionByName(with_new.select("new", "old", "likeness")).select(F.col("old").alias("rejected"), F.col("new").alias("accepted"), "likeness")
         alike = by_history.where("new <> old").select(F.col("new").alias("rejected"), F.col("old").alias("accepted"), "likeness").unionByName(mixed).unionByName(late_pairs)
-        return status, alike.select(F.col("rejected").alias("text_key"), F.col("accepted").alias("other_key"), "likeness")
+        return rejected, alike.select(F.col("rejected").alias("text_key"), F.col("accepted").alias("other_key"), "likeness")
 
     def merge_filters(self) -> None:
         """Make one filter of those of all batches, from the stored fingerprints; after many small batches."""
@@ -329,21 +344,51 @@ class History:
         return no.join(links, "key_no").join(yes, "key_yes").select("rejected", "accepted", "likeness").unionByName(same)
 
 
-def _rejected_within(edges: DataFrame) -> DataFrame | None:
-    """Of pairs (a, b) with a first in order: who is rejected if documents are taken in order.
+def _exploded(texts: DataFrame, *kept: str) -> DataFrame:
+    """(print, text_key, n, pos, *kept): a row for each fingerprint."""
+    return texts.select("text_key", "n", *kept, F.posexplode("prints").alias("pos", "print")).select("print", "text_key", "n", "pos", *kept)
+
+
+def _counted(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`staged`, and the number of rows that were written."""
+    seen = Observation()
+    return staged(rows.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get.get("n", 0)
 
-    In each round the documents that come before all their remaining partners are accepted, and
-    their partners rejected; at least one document is decided per round.
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """`n` rows that go to every task where there are at most SENT_ROWS of them."""
+    return F.broadcast(rows) if n <= SENT_ROWS else rows
+
+
+def _rejected_within(edges: DataFrame, n: int) -> DataFrame:
+    """Of up to `n` pairs (a, b, id_b), a before b in the order of ids: who (k) is rejected if documents are taken in order.
+
+    One task goes through the pairs in order. While there are more than ORDERED_PAIRS of them, rounds
+    come before: documents that come before all their remaining partners are accepted and their
+    partners rejected, so at least one document is decided in each, and its pairs are done with.
     """
-    rejected: DataFrame | None = None
-    while not edges.isEmpty():
+    late: DataFrame | None = None
+    while n > ORDERED_PAIRS:
         heads = edges.select(F.col("a").alias("k")).distinct().join(edges.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
         out = edges.join(heads, edges["a"] == heads["k"], "left_semi").select(F.col("b").alias("k")).distinct()
         done = staged(heads.select("k", F.lit(False).alias("rejected")).unionByName(out.select("k", F.lit(True).alias("rejected"))), "decided")
         now = done.where("rejected").select("k")
-        rejected = now if rejected is None else rejected.unionByName(now)
-        edges = staged(edges.join(done, edges["a"] == done["k"], "left_anti").join(done, F.col("b") == done["k"], "left_anti"), "edges")
-    return rejected
+        late = now if late is None else late.unionByName(now)
+        edges, n = _counted(edges.join(done, edges["a"] == done["k"], "left_anti").join(done, F.col("b") == done["k"], "left_anti"), "edges")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if a not in out and b not in out:
+                    out.add(b)
+                    new.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary())], ["k"])
+
+    # a is decided before b, as all pairs in which it is the later one come before
+    rest = edges.repartition(1).sortWithinPartitions("id_b", "b").select("a", "b").mapInArrow(decide, "k binary")
+    return rest if late is None else late.unionByName(rest)
 
 
 def check_batches(docs: DataFrame, id_col: str = "id", text_col: str = "content", batch_col: str = "batch_no", least: float = 0.5, root: str | None = None) -> DataFrame:

@@ -214,6 +214,18 @@ def test_p2_goes_on_with_an_old_store_and_reads_only_buckets_it_needs(spark, tmp
     assert any(r["rejected"] == "z" for r in history.History(spark, root).pairs().collect())
 
 
+def test_p2_decides_a_chain_in_one_pass(spark, monkeypatch):
+    chain = [(b"%03d" % i, b"%03d" % (i + 1), f"{i + 1:03d}") for i in range(20)]
+    pairs = spark.createDataFrame(chain, "a binary, b binary, id_b string")
+    truth = {b"%03d" % i for i in range(1, 21, 2)}
+    spark.sparkContext.setJobGroup("chain", "")
+    assert {bytes(r["k"]) for r in history._rejected_within(pairs, len(chain)).collect()} == truth
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) <= 3  # not some for each document of the chain
+    monkeypatch.setattr(history, "ORDERED_PAIRS", 15)
+    assert {bytes(r["k"]) for r in history._rejected_within(pairs, len(chain)).collect()} == truth
+
+
 def test_p2_takes_odd_tables(spark):
     df = odd(spark, "id", "content").dropDuplicates(["id"]).withColumn("batch_no", F.when(F.col("id") == "d", None).otherwise(F.length("id") % 2))
     found = history.check_batches(df.withColumn("batch_no", F.when(F.col("id") == "f", 2).otherwise(F.col("batch_no"))))
