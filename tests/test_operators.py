@@ -97,6 +97,20 @@ def test_budget_and_context(spark):
     assert retrieval.context(df.where("rank < 3"), "q", "text").first()["context"] == "[Context 1]\nxxxxxxxxxx\n\n[Context 2]\nxxxxxxxxxx"
 
 
+def test_bm25_leaves_documents_where_they_are(spark, monkeypatch):
+    words = [f"word{i}" for i in range(12)]
+    docs = spark.createDataFrame([(f"d{i:03d}", " ".join(words[(i * j) % 12] for j in range(1, 2 + i % 9))) for i in range(200)], "id string, t string").repartition(5)
+    q = spark.createDataFrame([(i, f"{words[i]} {words[i + 1]} {words[i]}") for i in range(10)] + [(None, "word3")], "q int, t string")
+    df, stats = retrieval.postings(docs, "id", "t").groupBy("term").agg(F.count("*").alias("df")), retrieval.corpus_stats(docs, "t")
+    truth = retrieval.scored(retrieval.postings(docs, "id", "t"), df, stats, retrieval.asked_terms(q, "q", "t"), 7)
+    truth = {(r["query"], r["id"], r["rank"], round(r["score"], 9)) for r in truth.collect()}
+    for most in (200_000, 4):  # at once, and in parts
+        monkeypatch.setattr(retrieval, "ASKED_ROWS", most)
+        found = retrieval.bm25(docs, q, "id", "t", "q", "t", 7)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r["q"], r["id"], r["rank"], round(r["score"], 9)) for r in found.collect()} == truth and len(truth) > 60
+
+
 def test_bm25_counts_empty_documents(spark):
     docs = spark.createDataFrame([(1, "apple pie apple"), (2, "banana"), (3, ""), (4, None)], "id long, t string")
     q = spark.createDataFrame([(7, "apple apple"), (8, ""), (9, None)], "q long, t string")
