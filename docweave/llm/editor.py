@@ -13,7 +13,7 @@ import random
 from collections import Counter, defaultdict
 
 from docweave.llm.furniture import MARKS
-from docweave.llm.perceptron import Perceptron, yes_no
+from docweave.llm.perceptron import Perceptron
 
 #: A misreading: what is seen, and what it should be.
 Unit = tuple[str, str]
@@ -62,9 +62,13 @@ def learn_units(counts: dict[str, int], least: float = 0.004, longest: int = 2,
             found[seen, true] += 1 / len(ways)
             places[seen, true].add(w)
     found = {u: n for u, n in found.items() if u[0] and u[1] and len(places[u]) > 1}
+    return lasting(found, sum(found.values()), least)
+
+
+def lasting(found: dict[Unit, float], total: float, least: float = 0.004) -> dict[Unit, float]:
+    """The misreadings that explain three words and `least` of all `total`, the most frequent first."""
     # what is seen of a longer misreading with the same outcome, with a sign lost, is none of its own
     part = {u for u in found for v in found if v[1] == u[1] and u[0] in v[0] and u[0] != v[0] and found[v] > found[u]}
-    total = sum(found.values())
     return {u: n for u, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if u not in part and n >= max(3, least * total)}
 
 
@@ -177,64 +181,110 @@ class Editor:
         score = self.perceptron.score
         return score(self.features(token, count, word, word_count, edits)) - score(self.features(token, count, token, count, []))
 
-    @classmethod
-    def fit(cls, counts: dict[str, int], seed: int = 5, most: int = 6000, much: int = 20) -> "Editor":
-        """Fit on words of the corpus.
+    def lessons(self, token: str, count: int, right: str | None, ways: list[tuple[str, int]], much: int = 20) -> list[tuple[list[list[str]], int]]:
+        """Examples that a word teaches, with the (word, count) of its key.
 
-        A word that misreadings lead to from one at least `much` times as frequent is taken for it,
-        one without any even half as much more frequent is right as it is, others teach nothing.
-        The most frequent `most` words are also spoilt by what was learned.
+        Where `right` is not known, a word that misreadings lead to from one at least `much` times as
+        frequent is taken for it, one without any even half as much more frequent is right as it is,
+        others teach nothing.
         """
-        units = learn_units(counts, much=much)
-        editor = cls(units, Perceptron())
-        near: dict[str, list[str]] = defaultdict(list)
-        for w, n in counts.items():
+        read = [(w, n, edits) for w, n in ways if w != token and (edits := align(token, w, self.units))]
+        if not read:
+            return []
+        times = 1
+        if right is None:
+            n, best = max((n, w) for w, n, _ in read)
+            if much * count / 2 <= n < much * count:
+                return []
+            right, times = (best, 1) if n >= much * count else (token, 3)
+        names = [token, *(w for w, _, _ in read)]
+        if right not in names:
+            return []
+        choices = [self.features(token, count, token, count, []), *(self.features(token, count, w, n, e) for w, n, e in read)]
+        return [(choices, names.index(right))] * times
+
+    @classmethod
+    def fit(cls, counts: dict[str, int], much: int = 20) -> "Editor":
+        """Fit on words of the corpus: what they teach themselves, and the frequent ones also spoilt by what was learned."""
+        editor = cls(learn_units(counts, much=much), Perceptron())
+        spoiler = Spoiler(editor.units)
+        near: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for w, n in sorted(counts.items()):
             if n >= 3 and plain(w):
-                near[key_of(w, editor.atoms)].append(w)
-        rng, examples = random.Random(seed), []
-        spoilers, weights = list(units), list(units.values())
-        by_true: dict[str, list[int]] = defaultdict(list)
-        for k, (_, true) in enumerate(spoilers):
-            by_true[true].append(k)
-
-        def readings(token: str) -> list[tuple[str, list]]:
-            found = ((w, align(token, w, units)) for w in near.get(key_of(token, editor.atoms), ()) if w != token)
-            return [(w, edits) for w, edits in found if edits]
-
-        def example(token: str, count: int, right: str, ways: list[tuple[str, list]]) -> None:
-            names = [token, *(w for w, _ in ways)]
-            if len(names) > 1 and right in names:
-                examples.append(([cls.features(token, count, token, count, []), *(cls.features(token, count, w, counts[w], e) for w, e in ways)], names.index(right)))
-
-        def spoil(word: str) -> str | None:
-            ways = [(at, k) for at in range(len(word)) for size in (1, 2) for k in by_true.get(word[at : at + size], ()) if len(word) - at >= size]
-            if not ways:
-                return None
-            at, k = rng.choices(ways, [weights[k] for _, k in ways])[0]
-            seen, true = spoilers[k]
-            return word[:at] + seen + word[at + len(true) :]
-
-        for w in sorted(counts):
-            n = counts[w]
-            if len(w) < 3 or w.endswith("-") or not (ways := readings(w)):
-                continue
-            best = max(ways, key=lambda x: (counts[x[0]], x[0]))[0]
-            if counts[best] >= much * n:
-                example(w, n, best, ways)
-            elif counts[best] < much * n / 2:
-                for _ in range(3):
-                    example(w, n, w, ways)
-        for w in sorted((w for w, n in counts.items() if n >= 8 and len(w) >= 3 and plain(w)), key=lambda w: (-counts[w], w))[:most]:
-            for _ in range(2):
-                token = spoil(w)
-                if token and rng.random() < 0.15:
-                    token = spoil(token) or token
-                if token and token != w and counts.get(token, 0) * much <= counts[w]:
-                    example(token, counts.get(token) or max(1, int(counts[w] * 0.004 * rng.random())), w, readings(token))
-        editor.perceptron = Perceptron.fit(examples)
+                near[key_of(w, editor.atoms)].append((w, n))
+        taught = [(w, n, None) for w, n in sorted(counts.items()) if len(w) >= 3 and not w.endswith("-")]
+        for w, n in sorted(counts.items()):
+            if n >= 8 and len(w) >= 3 and plain(w):
+                taught += [(token, counts.get(token) or guess, w) for token, guess in spoiler.spoilt(w, n) if counts.get(token, 0) * much <= n]
+        editor.perceptron = Perceptron.fit([x for token, n, right in taught for x in editor.lessons(token, n, right, near.get(key_of(token, editor.atoms), []), much)])
         return editor
 
 
+class Spoiler:
+    """Puts misreadings into words; what it draws for a word depends on the word only."""
+
+    def __init__(self, units: dict[Unit, float], seed: int = 5):
+        self.units, self.weights, self.seed = list(units), list(units.values()), seed
+        self.by_true: dict[str, list[int]] = defaultdict(list)
+        for k, (_, true) in enumerate(self.units):
+            self.by_true[true].append(k)
+
+    def ways(self, word: str) -> list[tuple[int, int]]:
+        return [(at, k) for at in range(len(word)) for size in (1, 2) for k in self.by_true.get(word[at : at + size], ()) if len(word) - at >= size]
+
+    def put(self, word: str, at: int, k: int) -> str:
+        seen, true = self.units[k]
+        return word[:at] + seen + word[at + len(true) :]
+
+    def often(self, word: str, rng: random.Random) -> str | None:
+        """The word with a misreading, by how often each is seen."""
+        ways = self.ways(word)
+        return self.put(word, *rng.choices(ways, [self.weights[k] for _, k in ways])[0]) if ways else None
+
+    def spoilt(self, word: str, n: int) -> list[tuple[str, int]]:
+        """Two spoilt forms of a word, each with how many texts may hold it where none does."""
+        rng, out = random.Random(f"{self.seed} {word}"), []
+        for _ in range(2):
+            token = self.often(word, rng)
+            if token and rng.random() < 0.15:
+                token = self.often(token, rng) or token
+            if token and token != word:
+                out.append((token, max(1, int(n * 0.004 * rng.random()))))
+        return out
+
+    def splits(self, word: str, repeats: int) -> list[tuple[str, str, str, bool, int]]:
+        """(part, mark, rest, whether the text has other marks, whether they are joined) to learn from.
+
+        A word is split at any place, a compound `repeats` times at its hyphen, and elsewhere. Some
+        parts are misread.
+        """
+        rng, out = random.Random(f"{self.seed} {word}"), []
+
+        def misread(part: str) -> str:
+            ways = self.ways(part)
+            return self.put(part, *rng.choice(ways)) if ways else part
+
+        def example(a: str, mark: str, b: str, other: bool, right: int) -> None:
+            spoil = rng.random()
+            if spoil < 0.1:
+                a, b = (misread(a), b) if spoil < 0.05 else (a, misread(b))
+            out.append((a, mark, b, other, right))
+
+        if "-" not in word:
+            cut = rng.randrange(2, len(word) - 1)
+            mark = rng.choice(MARKS)
+            example(word[:cut], mark, word[cut:], mark != "-", 1)
+            example(word[:cut], "-", word[cut:], False, 1)
+            return out
+        a, _, b = word.rpartition("-")
+        for _ in range(repeats):
+            example(a, "-", b, rng.random() < 0.5, 0)
+            if len(b) > 4:  # a compound may also be split elsewhere
+                cut = rng.randrange(2, len(b) - 1)
+                example(f"{a}-{b[:cut]}", rng.choice(MARKS), b[cut:], rng.random() < 0.5, 1)
+        return out
+
+
 def join_features(joined: int, hyphened: int, a: int, b: int, head: int, mark: str, other_mark: bool) -> list[str]:
     """Features of joining a word with its rest in the next line."""
     more = "joined" if joined > hyphened else "hyphened" if hyphened > joined else "same"
@@ -243,40 +293,3 @@ def join_features(joined: int, hyphened: int, a: int, b: int, head: int, mark: s
         f"parts {min(bucket(a), 6)} {min(bucket(b), 6)} {more}", f"head {min(bucket(head), 8)} {more}", f"{more} {mark}",
         f"head {head > 0} rest {b > 2} {more} {mark}",
     ]
-
-
-def fit_joiner(counts: dict[str, int], units: dict[Unit, float], seed: int = 5, most: int = 6000) -> Perceptron:
-    """Fit on frequent words split at any place, and on compounds split at their hyphen."""
-    rng = random.Random(seed)
-    words = sorted((w for w, n in counts.items() if n >= 5 and len(w) >= 5 and plain(w)), key=lambda w: (-counts[w], w))[:most]
-    by_true = defaultdict(list)
-    for seen, true in units:
-        by_true[true].append(seen)
-    examples = []
-
-    def misread(part: str) -> str:
-        ways = [part[:at] + seen + part[at + size :] for at in range(len(part)) for size in (1, 2) for seen in by_true.get(part[at : at + size], ()) if len(part) - at >= size]
-        return rng.choice(ways) if ways else part
-
-    def example(a: str, mark: str, b: str, other: bool, right: int) -> None:
-        spoil = rng.random()
-        if spoil < 0.1:
-            a, b = (misread(a), b) if spoil < 0.05 else (a, misread(b))
-        f = join_features(*(counts.get(x, 0) for x in (a + b, f"{a}-{b}", a, b, f"{a}-")), mark, other)
-        examples.append((yes_no(["join", *f]), right))
-
-    compounds = [w for w in words if "-" in w]
-    for w in words:
-        if "-" not in w:
-            cut = rng.randrange(2, len(w) - 1)
-            mark = rng.choice(MARKS)
-            example(w[:cut], mark, w[cut:], mark != "-", 1)
-            example(w[:cut], "-", w[cut:], False, 1)
-    for _ in range(max(1, len(words) // (2 * max(1, len(compounds))))):
-        for w in compounds:
-            a, _, b = w.rpartition("-")
-            example(a, "-", b, rng.random() < 0.5, 0)
-            if len(b) > 4:  # a compound may also be split elsewhere
-                cut = rng.randrange(2, len(b) - 1)
-                example(f"{a}-{b[:cut]}", rng.choice(MARKS), b[cut:], rng.random() < 0.5, 1)
-    return Perceptron.fit(examples, epochs=4)

@@ -264,7 +264,7 @@ class Scene:
 
 
 class Furniture:
-    """The two perceptrons, and the wordings that are heads or feet of several documents of the sample."""
+    """The two perceptrons, and the wordings that are heads or feet of several documents."""
 
     def __init__(self, near: Perceptron, around: Perceptron, heads: frozenset[str]):
         self.near, self.around, self.heads = near, around, heads
@@ -283,7 +283,7 @@ class Furniture:
 
 
 class Known:
-    """What the sample's repeated lines tell of others: wordings, and shapes by where they stand."""
+    """What repeated lines tell of others: wordings, and shapes by where they stand."""
 
     def __init__(self) -> None:
         self.heads: frozenset[str] = frozenset()
@@ -356,22 +356,28 @@ def labels(lines: Lines, scene: Scene, known: Known) -> dict[int, bool]:
     return out
 
 
-def learn(seen: list[tuple[Lines, Scene]]) -> Known:
-    """Wordings that stand on several pages of two or more documents, and shapes of repeated lines."""
-    words: Counter = Counter()
+def told(lines: Lines, scene: Scene) -> list[tuple[str, str]]:
+    """What a text tells of others: the wordings that it repeats on several pages, and shapes of lines by where they stand."""
+    starts = [k for k, t in enumerate(lines.top) if t]
+    if len(starts) < 2:
+        return []
+    sure = {k for k, v in labels(lines, scene, Known()).items() if v}
+    out = [("heads", key) for key in {scene.key[k] for k in sure if k not in scene.values and "#" not in scene.key[k]}]
+    for k in scene.at:
+        if k in sure:
+            out.append(("later" if k >= starts[1] else "first", scene.shape[k]))
+        elif k < min(ZONE, starts[1]):
+            out.append(("first_alone", scene.shape[k]))
+    return out
+
+
+def learn(counts: dict[tuple[str, str], int]) -> Known:
+    """Wordings that stand on several pages of two or more documents, and shapes of repeated lines, by how often they were told."""
     out = Known()
-    for lines, scene in seen:
-        starts = [k for k, t in enumerate(lines.top) if t]
-        if len(starts) < 2:
-            continue
-        sure = {k for k, v in labels(lines, scene, Known()).items() if v}
-        words.update({scene.key[k] for k in sure if k not in scene.values and "#" not in scene.key[k]})
-        for k in scene.at:
-            if k in sure:
-                (out.later if k >= starts[1] else out.first)[scene.shape[k]] += 1
-            elif k < min(ZONE, starts[1]):
-                out.first_alone[scene.shape[k]] += 1
-    out.heads = frozenset(key for key, n in words.items() if n > 1)
+    out.heads = frozenset(name for (kind, name), n in counts.items() if kind == "heads" and n > 1)
+    for (kind, name), n in counts.items():
+        if kind != "heads":
+            getattr(out, kind)[name] = n
     return out
 
 
@@ -398,20 +404,32 @@ def _without_pages(lines: Lines) -> Lines:
     return twin
 
 
-def fit(texts: list[tuple[str, int | None]]) -> Furniture:
-    """Fit on (content, said pages)."""
+def fit(texts: list[tuple[str, int | None]], known: Known | None = None) -> Furniture:
+    """Fit on (content, said pages); `known` is what these and other texts tell, by default these.
+
+    All texts parted by form feeds count as much as all others.
+    """
     whole = [Lines(content, pages) for content, pages in texts]
     scenes = [Scene(lines) for lines in whole]
-    known = learn(list(zip(whole, scenes)))
-    seen = []
+    known = known or learn(Counter(x for lines, scene in zip(whole, scenes) for x in told(lines, scene)))
+    parted = sum(lines.parted for lines in whole)
+    weight = {True: min(1.0, (len(whole) - parted) / max(1, parted) or 1.0), False: min(1.0, parted / max(1, len(whole) - parted) or 1.0)}
+    seen, pool = [], {}
+
+    def kept(features: list[str]) -> list[str]:
+        """The features, each held once."""
+        return [pool.setdefault(f, f) for f in features]
+
     for (content, _), text, scene in zip(texts, whole, scenes):
         for lines, kinds in _views(content, text, labels(text, scene, known)):
-            view = Scene(lines, known.heads)
-            seen.append((view, {k: view.features(k) for k in view.at}, kinds))
-    examples = [(yes_no(["furniture", *f[k]]), int(v)) for view, f, kinds in seen for k, v in kinds.items() if k in f]
-    model = Furniture(Perceptron.fit(examples, epochs=4), Perceptron(), known.heads)
+            if kinds:
+                view = Scene(lines, known.heads)
+                seen.append((view, {k: kept(view.features(k)) for k in view.at}, kinds, weight[text.parted]))
+    examples = [(yes_no(["furniture", *f[k]]), int(v)) for view, f, kinds, _ in seen for k, v in kinds.items() if k in f]
+    steps = [w for _, f, kinds, w in seen for k in kinds if k in f]
+    model = Furniture(Perceptron.fit(examples, epochs=4, steps=steps), Perceptron(), known.heads)
     examples = []
-    for view, f, kinds in seen:
+    for view, f, kinds, _ in seen:
         taken = model.first_taken(view, f)
-        examples += [(yes_no(["furniture", *f[k], *view.context(k, taken)]), int(v)) for k, v in kinds.items() if k in f]
-    return Furniture(model.near, Perceptron.fit(examples, epochs=4), known.heads)
+        examples += [(yes_no(["furniture", *f[k], *kept(view.context(k, taken))]), int(v)) for k, v in kinds.items() if k in f]
+    return Furniture(model.near, Perceptron.fit(examples, epochs=4, steps=steps), known.heads)

@@ -21,21 +21,24 @@ class Perceptron:
         return scores.index(max(scores))
 
     @classmethod
-    def fit(cls, examples: list[tuple[list[list[str]], int]], epochs: int = 6, seed: int = 11) -> Perceptron:
-        """Train on (choices, number of the right one); returns the average of all steps."""
+    def fit(cls, examples: list[tuple[list[list[str]], int]], epochs: int = 6, seed: int = 11, steps: list[float] | None = None) -> Perceptron:
+        """Train on (choices, number of the right one); returns the average of all steps.
+
+        `steps` tells how far each example moves the weights, by default 1.
+        """
         weights: dict[str, float] = defaultdict(float)
         totals: dict[str, float] = defaultdict(float)
         since: dict[str, int] = defaultdict(int)
-        rng, step, examples = random.Random(seed), 0, list(examples)
+        rng, step, examples = random.Random(seed), 0, list(zip(examples, steps or [1.0] * len(examples)))
         for _ in range(epochs):
             rng.shuffle(examples)
-            for choices, right in examples:
+            for (choices, right), far in examples:
                 step += 1
                 scores = [sum(weights[f] for f in c) for c in choices]
                 guess = scores.index(max(scores))
                 if guess == right:
                     continue
-                for sign, c in ((1.0, choices[right]), (-1.0, choices[guess])):
+                for sign, c in ((far, choices[right]), (-far, choices[guess])):
                     for f in c:
                         totals[f] += (step - since[f]) * weights[f]
                         since[f] = step

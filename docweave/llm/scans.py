@@ -3,13 +3,14 @@
 Page headers, footers and page numbers are found by perceptrons with page-position features
 (`furniture`). Misread words and words split at a line's end are decided by an averaged-perceptron
 character editor (`editor`) that predicts keep, replace, delete, insert and line-join operations.
-All of them learn from the corpus itself.
+All of them learn from the corpus itself, and from all of it: what is counted is counted by Spark, and
+perceptrons are fitted on equal shares of the examples, each by one task, and their weights averaged.
 
 Every different text is read once, by one Arrow pass; copies share its result. Word counts cover
 all texts. Words are decided once each and meet the lines they stand in by a join.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm import furniture as pages
-from docweave.llm.editor import Editor, fit_joiner, join_features
+from docweave.llm.editor import Editor, Spoiler, join_features, lasting
 from docweave.llm.furniture import MARKS, Furniture, Lines
-from docweave.llm.perceptron import Perceptron
+from docweave.llm.perceptron import Perceptron, yes_no
 from docweave.session import staged
 
 #: Signs around a word that don't belong to it.
@@ -65,13 +66,47 @@ def different_texts(docs: DataFrame, id_col: str, text_col: str, pages_col: str
     return ids, keyed.groupBy("text_key").agg(F.any_value("content").alias("content"), F.max("pages").alias("pages"))
 
 
-def train_furniture(texts: DataFrame, most_texts: int = 600, most_chars: int = 20_000) -> Furniture:
-    """Fit on at most `most_texts` texts parted by form feeds and as many others, each shorter than
-    `most_chars` (documented bounds, for the fit only)."""
-    short = texts.where(F.length("content") < most_chars)
-    parted = F.instr("content", "\f") > 0
-    sample = [tuple(r) for part in (parted, ~parted) for r in short.where(part).orderBy("text_key").limit(most_texts).select("content", "pages").collect()]
-    return pages.fit(sample)
+def mixed(rows: DataFrame, by: str, shares: int, fit: Callable[[pa.Table], dict[str, Perceptron]]) -> dict[str, Perceptron]:
+    """Perceptrons fitted on all rows: on each of `shares` shares of them, drawn by the column `by`, and averaged."""
+
+    def run(share: pa.Table) -> pa.Table:
+        out = [(name, f, w) for name, model in fit(share.sort_by(by)).items() for f, w in [(None, 1.0), *model.weights.items()] if w]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.float64()))], ["model", "feature", "weight"])
+
+    shared = rows.withColumn("share", F.pmod(F.xxhash64(by), F.lit(max(1, shares))))
+    fitted = shared.groupBy("share").applyInArrow(run, "model string, feature string, weight double")
+    # sums of decimals are the same in any order
+    sums = fitted.groupBy("model", "feature").agg(F.sum(F.col("weight").cast("decimal(28,12)")).cast("double")).collect()
+    parts = {model: n for model, feature, n in sums if feature is None}
+    return {m: Perceptron({f: w / n for model, f, w in sums if model == m and f is not None}) for m, n in parts.items()}
+
+
+def train_furniture(texts: DataFrame, share_chars: int = 3_000_000) -> Furniture:
+    """Fit on all texts, in shares of about `share_chars` characters.
+
+    What texts tell of others is counted over all of them before.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str]] = []
+            for content, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = Lines(content, said)
+                out += pages.told(lines, pages.Scene(lines))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.string()) for j in range(2)], ["kind", "name"])
+
+    parted = texts.where(F.instr("content", "\f") > 0).select("content", "pages")
+    counts = parted.mapInArrow(tell, "kind string, name string").groupBy("kind", "name").agg(F.count("*").alias("n"))
+    known = pages.learn({(r[0], r[1]): r[2] for r in counts.where("kind <> 'heads' or n > 1").collect()})
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def fit(share: pa.Table) -> dict[str, Perceptron]:
+        model = pages.fit(list(zip(share.column("content").to_pylist(), share.column("pages").to_pylist())), shared.value)
+        return {"near": model.near, "around": model.around}
+
+    chars = texts.agg(F.sum(F.length("content"))).first()[0] or 0
+    models = mixed(texts.select("text_key", "content", "pages"), "text_key", -(-chars // share_chars), fit)
+    return Furniture(models.get("near", Perceptron()), models.get("around", Perceptron()), known.heads)
 
 
 READ = T.StructType(
@@ -124,32 +159,134 @@ class Models:
         self.editor, self.joiner = editor, joiner
 
 
-def train(words: DataFrame, most_words: int = 10_000) -> Models:
-    """Fit on the `most_words` most frequent words and as many of all others (a documented bound, for the fit only)."""
-    frequent = words.orderBy(F.desc("n"), "word").limit(most_words).collect()
-    others = words.orderBy(F.xxhash64("word"), "word").limit(most_words).collect()
-    counts = {r[0]: r[1] for r in [*others, *frequent]}
-    editor = Editor.fit(counts)
-    return Models(editor, fit_joiner(counts, editor.units))
+#: Words of letters, with marks only inside, as `editor.plain`.
+PLAIN = r"^\p{L}([\p{L}'’-]*\p{L})?$"
+
+
+def misreadings(words: DataFrame, least: float = 0.004, longest: int = 2, much: int = 20) -> dict[tuple[str, str], float]:
+    """`editor.learn_units` of all words, by a join on what two words have in common around their difference."""
+    top = words.agg(F.max("n")).first()[0] or 0
+
+    def parted(some: DataFrame) -> DataFrame:
+        at = some.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("i"))
+        sized = at.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(longest), F.length("word") - F.col("i")))).alias("s")).where("length(word) - s >= 4")
+        return sized.selectExpr("word", "n", "i", "s", "substring(word, 1, i) as before", "substring(word, i + 1, s) as middle", "substring(word, i + s + 1) as after")
+
+    frequent = parted(words.where((F.col("n") >= much) & F.col("word").rlike(PLAIN))).selectExpr("before", "after", "middle as meant", "word as right", "n as right_n")
+    rare = parted(words.where(F.col("n") * much <= top))
+    ways = rare.join(frequent.hint("shuffle_hash"), ["before", "after"]).where(
+        f"""middle <> meant and right_n >= n * {much} and length(middle) + length(meant) < 4
+        and not (middle <> '' and meant <> '' and (left(middle, 1) = left(meant, 1) or right(middle, 1) = right(meant, 1)))"""
+    )
+    ways = ways.groupBy("word", "right").agg(F.min(F.struct("i", "s", "middle", "meant")).alias("way")).select("word", "right", "way.middle", "way.meant")
+    ways = ways.groupBy("word").agg(F.collect_list(F.struct("right", "middle", "meant")).alias("ways"))
+    ways = ways.where("size(array_distinct(transform(ways, x -> struct(x.middle, x.meant)))) <= 3")
+    ways = ways.select(F.explode("ways").alias("way"), (F.lit(1.0) / F.size("ways")).cast("decimal(18,9)").alias("part")).where("way.middle <> '' and way.meant <> ''")
+    found = ways.groupBy("way.middle", "way.meant").agg(F.sum("part").alias("n"), F.countDistinct("way.right").alias("places")).where("places > 1")
+    found = staged(found.select("middle", "meant", F.col("n").cast("double").alias("n")), "p1-misreadings")
+    total = found.agg(F.sum(F.col("n").cast("decimal(28,9)")).cast("double")).first()[0] or 0.0
+    return lasting({(r[0], r[1]): r[2] for r in found.where(F.col("n") >= max(3, least * total)).collect()}, total, least)
+
+
+def readings(some: DataFrame, words: DataFrame, atoms: dict[str, str]) -> DataFrame:
+    """`some` with (fixed, fixed_n): the words of at least three texts that have the key of its `word`, but not itself.
+
+    Words that may be misreadings of each other have one key.
+    """
+    single = {c: k for c, k in atoms.items() if len(k) == 1}
+
+    def keyed(df: DataFrame) -> DataFrame:
+        key = F.col("word")
+        for c, k in sorted(atoms.items()):
+            if len(k) > 1:
+                key = F.replace(key, F.lit(c), F.lit(k))
+        if single:
+            key = F.translate(key, "".join(single), "".join(single.values()))
+        return df.where(~F.col("word").endswith("-")).withColumn("key", key)
+
+    right = keyed(words).where((F.col("n") >= 3) & F.col("word").rlike(PLAIN)).select("key", F.col("word").alias("fixed"), F.col("n").alias("fixed_n"))
+    return keyed(some).join(right, "key").where("word <> fixed").drop("key")
+
+
+def train(words: DataFrame, share_words: int = 100_000, much: int = 20) -> Models:
+    """Fit on all words, in shares of about `share_words` examples; every count is that of all texts."""
+    editor = Editor(misreadings(words, much=much), Perceptron())
+    spoiler = Spoiler(editor.units)
+    return Models(Editor(editor.units, _fit_editor(words, editor, spoiler, share_words, much)), _fit_joiner(words, spoiler, share_words))
+
+
+def _fit_editor(words: DataFrame, editor: Editor, spoiler: Spoiler, share_words: int, much: int) -> Perceptron:
+    """Fit on what words with readings teach, and on frequent words spoilt."""
+
+    def spoil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(token, w, n, draw, guess) for w, n in zip(*(c.to_pylist() for c in batch.columns)) for draw, (token, guess) in enumerate(spoiler.spoilt(w, n))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["word", "right", "right_n", "draw", "guess"])
+
+    frequent = words.where((F.col("n") >= 8) & (F.length("word") >= 3) & F.col("word").rlike(PLAIN)).select("word", "n")
+    spoilt = frequent.mapInArrow(spoil, "word string, right string, right_n long, draw long, guess long").join(words.select("word", "n"), "word", "left")
+    spoilt = spoilt.where(F.coalesce("n", F.lit(0)) * much <= F.col("right_n")).select("word", F.coalesce("n", "guess").alias("n"), "right", "draw")
+    own = words.where(F.length("word") >= 3).select("word", "n", F.lit(None).cast("string").alias("right"), F.lit(0).cast("long").alias("draw"))
+    ways = F.sort_array(F.collect_list(F.struct("fixed", "fixed_n"))).alias("ways")
+    taught = readings(own.unionByName(spoilt), words, editor.atoms).groupBy("word", "n", "right", "draw").agg(ways)
+    taught = staged(taught.withColumn("id", F.concat_ws("\t", "word", "draw", "right")), "p1-taught")
+
+    def fit(share: pa.Table) -> dict[str, Perceptron]:
+        rows, pool, examples = zip(*(share.column(c).to_pylist() for c in ("word", "n", "right", "ways"))), {}, []
+        for word, n, right, some in rows:
+            taught = editor.lessons(word, n, right, [(w["fixed"], w["fixed_n"]) for w in some], much)
+            for choices, number in taught[:1]:
+                # every feature is held once
+                examples += [([[pool.setdefault(f, f) for f in c] for c in choices], number)] * len(taught)
+        return {"editor": Perceptron.fit(examples)}
+
+    return mixed(taught, "id", -(-taught.count() // share_words), fit).get("editor", Perceptron())
+
+
+#: Words looked up for a line's end, by their part in `join_features`, of the parts `la` and `lb`.
+ROLES = {"joined": "concat(la, lb)", "hyphened": "concat_ws('-', la, lb)", "first": "la", "rest": "lb", "head": "concat(la, '-')"}
+
+
+def looked_up(splits: DataFrame) -> DataFrame:
+    """Every split once for each of its roles, with the word of the role."""
+    return splits.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.expr(v).alias("word")) for k, v in ROLES.items()))).alias("r")).select(*splits.columns, "r.role", "r.word")
+
+
+def counted(looked: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
+    """The splits with the count of each role's word."""
+    return looked.join(words, "word", "left").groupBy(by).agg(*(F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(k) for k in ROLES))
+
+
+def _fit_joiner(words: DataFrame, spoiler: Spoiler, share_words: int) -> Perceptron:
+    """Fit on frequent words split at any place, and on compounds split at their hyphen."""
+    frequent = words.where((F.col("n") >= 5) & (F.length("word") >= 5) & F.col("word").rlike(PLAIN)).select("word")
+    many, compounds = frequent.agg(F.count("*"), F.count_if(F.contains("word", F.lit("-")))).first()
+    repeats = max(1, many // (2 * max(1, compounds)))
+    columns = ["id", "la", "mark", "lb", "other_mark", "right"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(f"{w}\t{k}", *x) for w in batch.column(0).to_pylist() for k, x in enumerate(spoiler.splits(w, repeats))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((*[pa.string()] * 4, pa.bool_(), pa.int32()))], columns)
+
+    splits = frequent.mapInArrow(split, "id string, la string, mark string, lb string, other_mark boolean, right int")
+    taught = staged(counted(looked_up(splits), words, columns), "p1-splits")
+
+    def fit(share: pa.Table) -> dict[str, Perceptron]:
+        rows = zip(*(share.column(c).to_pylist() for c in (*ROLES, "mark", "other_mark", "right")))
+        return {"joiner": Perceptron.fit([(yes_no(["join", *join_features(*row)]), right) for *row, right in rows], epochs=4)}
+
+    return mixed(taught, "id", -(-taught.count() // share_words), fit).get("joiner", Perceptron())
 
 
 def corrections(words: DataFrame, editor: Editor) -> DataFrame:
     """(word, fixed): the words of the corpus that the editor changes.
 
-    Words that may be misreadings of each other have one key, so every word is sent once and met by
-    the words of at least three texts with its key. The editor scores each pair; the best stays.
+    Every word is sent once and met by the words that may be its readings. The editor scores each
+    pair; the best stays.
     """
     shared = words.sparkSession.sparkContext.broadcast(editor)
-    key = F.col("word")
-    single = {c: k for c, k in editor.atoms.items() if len(k) == 1}
-    for c, k in sorted(editor.atoms.items()):
-        if len(k) > 1:
-            key = F.replace(key, F.lit(c), F.lit(k))
-    if single:
-        key = F.translate(key, "".join(single), "".join(single.values()))
-    keyed = words.where(~F.col("word").endswith("-")).withColumn("key", key)
-    right = keyed.where((F.col("n") >= 3) & F.col("word").rlike(r"^\p{L}([\p{L}'’-]*\p{L})?$")).select("key", F.col("word").alias("fixed"), F.col("n").alias("fixed_n"))
-    pairs = keyed.join(right, "key").where("word <> fixed").select("word", "n", "fixed", "fixed_n")
+    pairs = readings(words, words, editor.atoms).select("word", "n", "fixed", "fixed_n")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value.gain
@@ -178,18 +315,16 @@ def defects(read: DataFrame, words: DataFrame, models: Models, fixes: DataFrame,
     ends = ends.select("text_key", F.col("e.end_line").alias("line_no"), F.col("e.end_next").alias("next_no"), F.col("e.end_a").alias("a"), F.col("e.end_mark").alias("mark"), F.col("e.end_b").alias("b"), "other_mark")
     ends = ends.withColumns({"la": F.lower("a"), "lb": F.lower("b")})
     splits = ends.select("la", "mark", "lb", "other_mark").distinct()
-    roles = {"joined": F.concat("la", "lb"), "hyphened": F.concat_ws("-", "la", "lb"), "first": F.col("la"), "rest": F.col("lb"), "head": F.concat(F.col("la"), F.lit("-"))}
-    looked = splits.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("role"), v.alias("word")) for k, v in roles.items()))).alias("r")).select("la", "mark", "lb", "other_mark", "r.role", "r.word")
-    corrected = looked.join(fixes, "word", "left").withColumn("word", F.when(F.col("role").isin("joined", "hyphened"), F.coalesce("fixed", "word")).otherwise(F.col("word"))).drop("fixed")
-    counted = corrected.join(words, "word", "left").groupBy("la", "mark", "lb", "other_mark").agg(*(F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(k) for k in roles))
+    looked = looked_up(splits).join(fixes, "word", "left").withColumn("word", F.when(F.col("role").isin("joined", "hyphened"), F.coalesce("fixed", "word")).otherwise(F.col("word"))).drop("fixed")
+    found = counted(looked, words, ["la", "mark", "lb", "other_mark"])
     joiner = spark.sparkContext.broadcast(models.joiner)
 
     @F.pandas_udf("boolean")
     def joins(frame: pd.DataFrame) -> pd.Series:
-        names = ["joined", "hyphened", "first", "rest", "head", "mark", "other_mark"]
+        names = [*ROLES, "mark", "other_mark"]
         return pd.Series([joiner.value.score(["join", *join_features(*row)]) > 0 for row in frame[names].itertuples(index=False, name=None)], dtype="bool")
 
-    joined = counted.where(joins(F.struct(*counted.columns))).select("la", "mark", "lb", "other_mark")
+    joined = found.where(joins(F.struct(*found.columns))).select("la", "mark", "lb", "other_mark")
     hyphens = ends.join(joined, ["la", "mark", "lb", "other_mark"], "left_semi")
     hyphens = hyphens.select("text_key", "line_no", F.lit("hyphen").alias("kind"), F.concat("a", "mark", "b").alias("seen"), F.concat("a", "b").alias("fixed"))
 

@@ -166,6 +166,37 @@ def test_p1_takes_odd_tables(spark):
         assert not fixed or fixed["a"] is None and fixed["b"] == "" and fixed["d"] == "tiny" and fixed["e"].split() == LONG.split()
 
 
+def test_p1_learns_from_all_words_and_texts(spark):
+    rng = random.Random(3)
+    letters = "abdeghiklmnoprstuvw"
+    counts = {"".join(rng.choice(letters) for _ in range(9)): 400 for _ in range(300)}
+    right = [w for w in counts if "d" in w and "e" in w][:6]
+    counts |= {w.replace("e", "c", 1): 1 for w in list(counts) if "e" in w}
+    counts |= {"x" + "".join(rng.choice(letters) for _ in range(8)): 2 for _ in range(40_000)}
+    counts |= {w.replace("d", "cl", 1): 1 for w in right}
+    rows = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(4)
+    models = scans.train(rows)
+    assert models.editor.units == pytest.approx(editor.learn_units(counts)) and set(models.editor.units) == {("c", "e"), ("cl", "d")}
+    fixes = {r["word"]: r["fixed"] for r in scans.corrections(rows, models.editor).collect()}
+    assert all(fixes[w.replace("d", "cl", 1)] == w for w in right)
+    for shared in (models, scans.train(rows, share_words=500)):
+        f = editor.join_features(400, 0, 0, 0, 0, "-", False)
+        assert shared.joiner.score(["join", *f]) > 0 and shared.editor.gain(right[0].replace("d", "cl", 1), 1, right[0], 400) > 0
+
+    docs = [(f"{i:04d}", t, 3) for i, (_, t) in enumerate(page_documents(620))]
+    for key, head, times in (("y", "Northern archive", 1), ("z", "Southern archive", 80)):
+        for n in range(2):
+            page = f"\n{head}\n" + "\n".join(f"the careful clerk {key}{n} counted seven boxes." for _ in range(4 * times)) + "\n\f"
+            docs.append((f"{key}{n}", page * 3, 3))
+    texts = spark.createDataFrame(docs, "text_key string, content string, pages int")
+    for share_chars in (100_000, 3_000_000):
+        model = scans.train_furniture(texts, share_chars)
+        assert {furniture.fold("Northern archive"), furniture.fold("Southern archive")} <= model.heads
+        bare = docs[0][1].replace("\f", "")
+        want = {n for n, x in enumerate(bare.split("\n")) if "Harbour" in x or x.startswith("Page")}
+        assert want - {0} <= model.lines_of(furniture.Lines(bare, 3))
+
+
 # p2
 
 
