@@ -3,9 +3,9 @@
 Method: a text's fingerprints are the rarer part of its distinct word sequences (3 words each, in
 one order for the whole store). Any two texts with the asked likeness share one of them, so none is
 missed. Partitioned Bloom filters prescreen the fingerprints of a new batch; the positives are
-looked up in a persistent store, only in its buckets that they fall into; pairs whose sizes and
-positions leave room for the likeness are verified on their whole sets; then filters and store take
-in the batch.
+looked up in a persistent store, only in its buckets that they fall into; pairs whose sizes,
+positions and number of shared fingerprints leave room for the likeness are verified on their whole
+sets; then filters and store take in the batch.
 
 A new batch is first held against the accepted texts. What is alike to one of them is rejected and
 met with no other rejected text. The rest meets itself and what was rejected, in one join, and is
@@ -34,6 +34,10 @@ BLOOM_HASHES = 4
 SENT_ROWS = 200_000
 #: Pairs of a batch, counted before, that one task decides in order; of more, rounds decide a part first.
 ORDERED_PAIRS = 1_000_000
+#: Fingerprints that a pair must share before its whole sets are read, where its sizes ask for so many; more drop more pairs but meet more of them.
+SHARED_PRINTS = 8
+#: Texts, or pairs of sets, that a Python worker takes up at once.
+SLICE = 500
 
 FRESH = "text_key binary, first_id {}, n int, grams binary, prints array<long>"
 REJECTED = "text_key binary, known boolean"
@@ -47,12 +51,14 @@ def shared_grams(pairs: DataFrame, left: str, right: str, name: str = "shared")
     schema = T.StructType([*(pairs.schema[c] for c in kept), T.StructField(name, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-                for a, b in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(found, pa.int32())], [*kept, name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found = [
+                    len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                    for a, b in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
+                ]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(found, pa.int32())], [*kept, name])
 
     return pairs.select(*kept, left, right).mapInArrow(run, schema)
 
@@ -70,8 +76,8 @@ def count_sketch(texts: DataFrame, bits: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                for grams in _sets_of(batch.column(0).slice(at, 2000).to_pylist()):
+            for at in range(0, batch.num_rows, SLICE):
+                for grams in _sets_of(batch.column(0).slice(at, SLICE).to_pylist()):
                     counts[(grams % np.uint64(slots)).astype(np.int64)] += 1
         for i in range(0, slots, block):
             if counts[i : i + block].any():
@@ -181,8 +187,8 @@ class History:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = shared.value
             for whole in batches:
-                for at in range(0, whole.num_rows, 2000):
-                    batch = whole.slice(at, 2000)
+                for at in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(at, SLICE)
                     kept, sets, prints = [], [], []
                     for i, grams in enumerate(_sets_of(batch.column(2).to_pylist())):
                         if len(grams):
@@ -231,30 +237,39 @@ class History:
         return probes.withColumn("bucket", self.slot()).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(screen, schema)
 
     def _candidates(self, new: DataFrame, old: DataFrame) -> DataFrame:
-        """(new, old): pairs with a common fingerprint whose sizes and places leave room for the likeness."""
+        """(new, old): pairs whose common fingerprints leave room for the likeness, by sizes, places and number.
+
+        Two alike texts have at least `need` sequences in common. From the k-th of these on, in their order,
+        either text has need - k + 1 or more, so the first `sure` of them are fingerprints of both. The
+        first `asked` of these leave room for need - asked + 1, and a pair with fewer such fingerprints
+        isn't alike. One that is stored twice only counts for more.
+        """
         a = new.select("print", F.col("text_key").alias("new"), F.col("n").alias("n_new"), F.col("pos").alias("pos_new"))
         b = old.select("print", F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("pos").alias("pos_old"), *(c for c in old.columns if c == "gone"))
         room = F.least(F.col("n_new") - F.col("pos_new"), F.col("n_old") - F.col("pos_old"))
-        need = (F.col("n_new") + F.col("n_old")) * (self.least / (1 + self.least)) - 1e-6
-        met = a.join(b, "print").where(room >= need)
-        if "gone" not in old.columns:
-            return met.select("new", "old").distinct()
-        return met.where(F.col("gone") | (F.col("new") < F.col("old"))).select("new", "old", "gone").distinct()  # a batch with itself: each pair once
+        need = F.ceil((F.col("n_new") + F.col("n_old")) * (self.least / (1 + self.least)) - 1e-6)
+        sure = need - F.ceil(F.greatest("n_new", "n_old") * self.least - 1e-9) + 1  # of the common sequences, so many are fingerprints of both
+        asked = F.greatest(F.lit(1), F.least(F.lit(SHARED_PRINTS), sure))
+        met = a.join(b, "print").where(room >= need - asked + 1)
+        of = ["new", "old"]
+        if "gone" in old.columns:
+            met, of = met.where(F.col("gone") | (F.col("new") < F.col("old"))), [*of, "gone"]  # a batch with itself: each pair once
+        return met.groupBy(*of).agg(F.count(F.lit(1)).alias("common"), F.max(asked).alias("asked")).where("common >= asked").select(*of)
 
     def _verified(self, pairs: DataFrame, new: DataFrame, old: DataFrame, *kept: str) -> DataFrame:
         """The pairs (new, old, *kept, likeness) that are alike, by their whole sets; `kept` are columns of either text or pair."""
         a = new.select(F.col("text_key").alias("new"), F.col("n").alias("n_new"), F.col("grams").alias("grams_new"), *(F.col("first_id").alias(c) for c in kept if c == "id_new"))
         b = old.select(F.col("text_key").alias("old"), F.col("n").alias("n_old"), F.col("grams").alias("grams_old"), *(F.col("first_id").alias(c) for c in kept if c == "id_old"))
-        shared = shared_grams(pairs.join(a, "new").join(b, "old"), "grams_new", "grams_old")
+        shared = shared_grams(pairs.join(b, "old").join(a, "new"), "grams_new", "grams_old")  # of the store, which is larger, only what is in pairs is shuffled
         likeness = F.col("shared") / (F.col("n_new") + F.col("n_old") - F.col("shared"))
         return shared.select("new", "old", *kept, likeness.alias("likeness")).where(F.col("likeness") >= self.least)
 
     def _looked_up(self, probes: DataFrame, fresh: DataFrame, accepted: bool) -> DataFrame:
         """Pairs (new, old, likeness) of a batch's texts with accepted or with rejected texts of the store, the same text among them."""
         found = self._candidates(probes, self.prints(accepted, self._buckets_of(probes, "print")))
-        if self.buckets > 1:  # the buckets of the sets are known from the candidates
-            found = staged(found, "candidates")
-        return self._verified(found, fresh, self.sets(self._buckets_of(found, "old")).dropDuplicates(["text_key"]))
+        found = _sent(*_counted(found, "candidates"))  # the buckets of the sets are known from the candidates
+        self._clean()
+        return self._verified(found, fresh, self.sets(self._buckets_of(found, "old"))).distinct()  # a rejected text may be stored by several batches
 
     def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "content") -> str:
         """Check a batch against the store and take it in; returns the batch's name in the store.

@@ -245,6 +245,26 @@ def test_p2_goes_on_with_an_old_store_and_reads_only_buckets_it_needs(spark, tmp
     assert any(r["rejected"] == "z" for r in history.History(spark, root).pairs().collect())
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_p2_meets_no_texts_that_share_a_phrase_only(spark, tmp_path, least):
+    rng = random.Random(7)
+    whole = [(f"a{i:02d}", text(rng.choice([22, 60, 150]))) for i in range(24)]
+    store = history.History(spark, f"file://{tmp_path}/store", least=least)
+    texts = spark.createDataFrame(whole, "id string, text string")
+    store._share(history.count_sketch(texts.select("text"), 16))
+    # a phrase that the first texts don't have is the rarest in all, so it is among their first fingerprints
+    rows = [(i, t + " not seen before this phrase here") for i, t in whole if len(t.split()) > 22]
+    rows += [(f"b{k:02d}", edited(t, rng.randrange(0, 14))) for k, (_, t) in enumerate(rows + whole)]
+    df = spark.createDataFrame([(i.encode(), i, t) for i, t in rows], "text_key binary, first_id string, text string")
+    fresh = store.fingerprints(df).cache()
+    probes = history._exploded(fresh)
+    truth = {(i, j) for i, t in rows for j, u in rows if likeness(t, u) >= least}
+    met = {(bytes(r["new"]).decode(), bytes(r["old"]).decode()) for r in store._candidates(probes, probes).collect()}
+    found = store._verified(store._candidates(probes, probes), fresh, fresh).collect()
+    assert {(bytes(r["new"]).decode(), bytes(r["old"]).decode()) for r in found} == truth and truth <= met
+    assert len(truth) > 1.2 * len(rows) and len(met) < 1.5 * len(truth)
+
+
 def test_p2_decides_a_chain_in_one_pass(spark, monkeypatch):
     chain = [(b"%03d" % i, b"%03d" % (i + 1), f"{i + 1:03d}") for i in range(20)]
     pairs = spark.createDataFrame(chain, "a binary, b binary, id_b string")
