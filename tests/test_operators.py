@@ -111,6 +111,38 @@ def test_bm25_leaves_documents_where_they_are(spark, monkeypatch):
         assert {(r["q"], r["id"], r["rank"], round(r["score"], 9)) for r in found.collect()} == truth and len(truth) > 60
 
 
+@pytest.mark.parametrize("share, weights", [(400, 1 << 22), (1 << 40, 1 << 22), (400, 100), (0, 0)])
+def test_bm25_of_many_blocks_equals_joined_postings(spark, monkeypatch, share, weights):
+    monkeypatch.setattr(retrieval, "DENSE_SHARE", share)
+    monkeypatch.setattr(retrieval, "DENSE_WEIGHTS", weights)
+    draw = random.Random(5)
+    words = [a + b + "x" for a in "bcdfghjklm" for b in "aeiou"]
+    text = lambda n: " ".join(words[int(len(words) * draw.random() ** 2)] for _ in range(n))
+    docs = spark.createDataFrame([(i, text(12)) for i in range(3000)] + [(3000 + i, "baxx bexx") for i in range(5)], "id int, text string").repartition(2)
+    asked = spark.createDataFrame([(q, text(4)) for q in range(40)], "q int, query string")
+    rows = lambda df: sorted((r["q"], r["rank"], r["id"], round(r["score"], 8)) for r in df.collect())
+    joined = retrieval.scored(retrieval.postings(docs, "id", "text"), retrieval.postings(docs, "id", "text").groupBy("term").agg(F.count("*").alias("df")), retrieval.corpus_stats(docs, "text"), retrieval.asked_terms(asked, "q", "query"), 4)
+    assert rows(retrieval.bm25(docs, asked, "id", "text", "q", "query", 4)) == rows(joined.withColumnRenamed("query", "q"))
+
+
+@pytest.mark.parametrize("metric, most", [("l2", None), ("cosine", None), ("l2", 1.0)])
+def test_nearest_of_many_blocks_is_exact(spark, monkeypatch, metric, most):
+    monkeypatch.setattr(retrieval, "HELD_ROWS", 150)
+    draw = np.random.default_rng(5)
+    v = np.repeat(draw.random((150, 4)), 2, axis=0)  # each vector twice: ties
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>").repartition(2)
+    asked = spark.createDataFrame([(i, v[i * 7].tolist()) for i in range(30)], "q int, qv array<double>")
+    if metric == "l2":
+        d = ((v[::7][:30, None] - v[None]) ** 2).sum(2)
+    else:
+        n = v / np.linalg.norm(v, axis=1, keepdims=True)
+        d = 1 - n[::7][:30] @ n.T
+    d = np.round(np.maximum(d, 0), 9)
+    best = [(q, i) for q in range(30) for i in sorted(range(300), key=lambda i: (d[q, i], i))[:5] if most is None or d[q, i] <= most]
+    found = retrieval.nearest(vectors, asked, "id", "v", "q", "qv", 5, metric, dim=4, block=16, most_distance=most).orderBy("q", "rank").collect()
+    assert [(r["q"], r["id"]) for r in found] == best
+
+
 def test_bm25_counts_empty_documents(spark):
     docs = spark.createDataFrame([(1, "apple pie apple"), (2, "banana"), (3, ""), (4, None)], "id long, t string")
     q = spark.createDataFrame([(7, "apple apple"), (8, ""), (9, None)], "q long, t string")
